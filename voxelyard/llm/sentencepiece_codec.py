@@ -110,6 +110,11 @@ class Normalizer:
                     piece = re.sub(rb" +", b" ", piece)
                 put(piece.replace(b" ", space), a, b)
                 before = piece.endswith(b" ")
+        while self.squeeze and out and out[-1].endswith(space):  # marks at the end go, those of the text too
+            out[-1] = out[-1].removesuffix(space)
+            spans[-1] = (len(out[-1]), *spans[-1][1:])
+            if not out[-1]:
+                out.pop(), spans.pop()
         n = [s[0] for s in spans]
         return b"".join(out), np.repeat([s[1] for s in spans], n).astype(np.int64), np.repeat([s[2] for s in spans], n).astype(np.int64)
 
