@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, secret_scan, sentencepiece_codec, sharding
+from . import exact_dedup, jaccard_join, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, sharding
 from .common import LOWER, UPPER, table
 
 
@@ -24,6 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -40,13 +44,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_sharding": op9_sharding,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
