@@ -39,21 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table that was written."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns the table that was written; ``release`` deletes
+    it later unless ``keep`` is set."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxelyard/{uuid.uuid4().hex[:12]}-{next(_serial)}-{name}"
     df.write.parquet(path)
-    _scratch.append(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch tables made so far; call it once the results that read them are written."""
+def scratch_mark() -> int:
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the scratch tables made since a mark (all of them by default); call it once the results
+    that read them are written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    gone = _scratch[since:until]
+    del _scratch[since:until]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -327,4 +327,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents, one of each component: those whose id is the component's."""
     linked = link(docs, id_col, text_col)
     drop = materialize(linked.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    return docs.join(drop, id_col, "left_anti")
+    few = drop.count() <= MOST_KNOWN
+    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)

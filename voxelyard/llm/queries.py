@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, sharding
+from . import exact_dedup, jaccard_join, license_scan, packing, quality_rules, secret_scan, sentencepiece_codec, sharding, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -40,6 +40,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
