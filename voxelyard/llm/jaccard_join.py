@@ -245,18 +245,20 @@ def _small_pairs(open_: DataFrame) -> DataFrame:
     return left.where((F.col("x.comp") != F.col("y.comp")) & _fits("x.size", "y.size")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settles regions by document pivots until each holds one component; (links, components)."""
+def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Settles regions by document pivots until each holds one component; (node, comp)."""
     turn = 0
     while True:
         open_ = materialize(_labelled(members, comp), "regions")
+        if open_.isEmpty():
+            return comp
         small = materialize(_small_pairs(open_), "small-pairs")
         large = open_.where(F.col("members") > SMALL_REGION)
         # pivots: members outside the main component, one a slot, by a hash that changes every turn
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
         pivots = materialize(large.where("comp <> main").groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn + 1))).alias("p")).select("region", "p"), "pivots")
         if pivots.isEmpty() and small.isEmpty():
-            return links, comp
+            return comp
         spread = large.join(pivots, "region").where("node <> p.node")
         spread = materialize(spread.select("region", "node", "size", "weight", "comp", "p"), "spread")
         tests = spread.where((F.col("comp") != F.col("p.comp")) & _fits("size", "p.size")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
@@ -280,6 +282,20 @@ def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFr
         turn += 2
 
 
+def settle(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, comp) of the linked nodes, from regions in which any two partners meet; ``members`` has
+    (region, node, size, weight), ``sets`` (node, size, keys)."""
+    # the first pivot of each document: the most central member of any of its regions
+    hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = materialize(hubs.select("region", "hub"), "hubs")
+    first = members.join(hubs, "region").where((F.col("node") != F.col("hub.node")) & _fits("size", "hub.size"))
+    first = first.groupBy("node").agg(F.max("hub").alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    links = materialize(_verified(first, sets).where("link").select("a", "b"), "links")
+    comp = materialize(components(links), "components")
+    members = members.join(hubs.select("region"), "region", "left_semi").select("region", "node", "size", "weight")
+    return _recurse(members, sets, links, comp)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     rows = _inputs(docs, id_col, text_col)
@@ -303,15 +319,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     window = F.size("keys") - F.ceil(3 * F.col("size") / 4).cast("int") + 1
     members = materialize(sets.select("node", "size", "weight", F.explode(F.slice("keys", F.lit(1), window)).alias("region")), "windows")
 
-    # the first pivot of each document: the most central member of any of its regions
-    hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialize(hubs.select("region", "hub"), "hubs")
-    first = members.join(hubs, "region").where((F.col("node") != F.col("hub.node")) & _fits("size", "hub.size"))
-    first = first.groupBy("node").agg(F.max("hub").alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = materialize(_verified(first, sets).where("link").select("a", "b"), "links")
-    comp = materialize(components(links), "components")
-    members = members.join(hubs.select("region"), "region", "left_semi").select("region", "node", "size", "weight")
-    _, comp = _recurse(members, sets, links, comp)
+    comp = settle(members, sets)
 
     # the least document of every component and of every text
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
