@@ -5,10 +5,9 @@ the totals of the tasks - one row a task - give every task its global offset by
 Pass two cuts the concatenation into fixed windows: a document that crosses a window's edge leaves
 one boundary record on either side.  Both passes are narrow: nothing shuffles but the totals.
 
-Token ids are those of the ``tokenizers`` library.  A byte-level BPE never merges across its
-pre-tokens, and a space always opens one, so texts are split at single spaces and each distinct
-piece is encoded once a worker and then looked up; texts with white space that this rule does not
-cover, and texts that hold a special token, are encoded whole.
+Token ids are those of the ``tokenizers`` library and file.  The same vocabulary and merge order
+drive tiktoken's faster engine; texts with special tokens, or with characters whose Unicode classes
+may differ between the two libraries, are encoded by ``tokenizers`` itself.
 
 Defined results: a null text is empty and packs as its end id alone; a null id is carried; an empty
 table gives no rows; repeated rows are packed once each.
@@ -26,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_buffers
+from .common import SLICE_BYTES, materialize, slices, text_buffers
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct pieces that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Long-assigned characters, on whose classes all Unicode versions agree.
+PLAIN = "\\x00-\u052f\u1e00-\u2064\u2070-\u20bf\u2100-\u218b\u2190-\u23ff\u3000-\u303f\u3041-\u3096\u3099-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uffdc"
+
 #: Task totals that the driver may broadcast; beyond it they are joined.
 MOST_TOTALS = 1_000_000
 
@@ -43,16 +43,19 @@ class BytePieces:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [c for c in range(256) if c not in shown]
+        byte_of = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in t): k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
         # GPT-2's published pre-token pattern (a fixed value)
-        self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.awkward = re.compile(r"\s (?:\s|$)").search
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.engine = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.other = re.compile("|".join([f"[^{PLAIN}]", *map(re.escape, special)])).search
 
     @classmethod
     def of(cls, path: str) -> BytePieces:
@@ -60,36 +63,10 @@ class BytePieces:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Adds pieces to the memo; the plainest scripts are looked up by pre-token first."""
-        plain = [(p, self.pretokens(p)) for p in missing if max(p, default=" ") < "԰"]
-        rest = [p for p in missing if not max(p, default=" ") < "԰"]
-        words = self.words
-        new = list({w for _, ws in plain for w in ws if w not in words})
-        words.update(zip(new, self._whole(new)))
-        self.memo.update((p, b"".join([words[w] for w in ws])) for p, ws in plain)
-        self.memo.update(zip(rest, self._whole(rest)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO or len(self.words) > MEMO:
-            self.memo.clear()
-            self.words.clear()
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special) or self.awkward(text):
-                parts.append(None)
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + p for p in rest]])
-        memo = self.memo
-        missing = {p for ps in parts if ps for p in ps if p not in memo}
-        if missing:
-            self._learn(list(missing))
-        get = memo.__getitem__
-        return [b"".join(map(get, ps)) if ps is not None else self._whole([t])[0] for t, ps in zip(texts, parts)]
+    def encode(self, text: str) -> np.ndarray:
+        if self.other(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -102,19 +79,17 @@ def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         part, local = TaskContext.get().partitionId(), 0
         pieces = BytePieces.of(tokenizer_path)
         narrow = pieces.tokenizer.get_vocab_size() <= 1 << 16
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
             data, at = text_buffers(batch.column(1))
-            raw = data.tobytes()
-            for first in range(0, batch.num_rows, 256):
-                rows = range(first, min(first + 256, batch.num_rows))
-                ids = [x + tail for x in pieces.encode([raw[at[k] : at[k + 1]].decode() for k in rows])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for first, last in slices(at, SLICE_BYTES):
+                raw, edge = data[at[first] : at[last]].tobytes(), (at[first : last + 1] - at[first]).tolist()
+                ids = [np.append(pieces.encode(raw[a:b].decode()), tail) for a, b in zip(edge, edge[1:])]
+                n = np.array([len(x) for x in ids], np.int64)
                 before = local + np.cumsum(n) - n
                 local += int(n.sum())
-                if narrow:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before), batch.column(0).slice(first, len(ids)), pa.array(n), pa.array(ids, pa.binary())], ["part", "local", "doc_id", "n", "ids"])
+                packed = [x.astype("<u2" if narrow else "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before), batch.column(0).slice(first, len(ids)), pa.array(n), pa.array(packed, pa.binary())], ["part", "local", "doc_id", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"part int, local long, doc_id {kind}, n long, ids binary"), "tokens")
