@@ -908,9 +908,9 @@ def stream_detail_join(spark, sf_dir):
     return _drain(spark, feedback.with_details(requests, details), "append").select("event_id", "brick_idx", "size")
 
 
-@query("camera_orbit", "SELECT CAST(range AS INTEGER) AS frame, round(sin(range / 256.0 * 2 * 3.141592653589793) * 2.0, 6) AS x, round(cos(range / 256.0 * 2 * 3.141592653589793) * 2.0, 6) AS z FROM range(256)")
+@query("camera_orbit", "SELECT CAST(range AS INTEGER) AS frame, round(sin(range / 256.0 * 2 * 3.141592653589793) * 2.0, 6) + 0.0 AS x, round(cos(range / 256.0 * 2 * 3.141592653589793) * 2.0, 6) + 0.0 AS z FROM range(256)")
 def camera_orbit(spark, sf_dir):
-    return feedback.orbit(spark).select("frame", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+    return feedback.orbit(spark).select("frame", (F.round("x", 6) + 0.0).alias("x"), (F.round("z", 6) + 0.0).alias("z"))
 
 
 @query("registered_functions", f"WITH {V1} SELECT label, max({M3}) AS m, CAST(CASE WHEN label >= 65536 THEN 4 WHEN label >= 256 THEN 2 ELSE 1 END AS INTEGER) AS b FROM v GROUP BY label")
