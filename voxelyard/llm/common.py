@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import table  # noqa: F401
+
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,10 +73,6 @@ def plus(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets with one more entry than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

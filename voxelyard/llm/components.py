@@ -1,8 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step is an aggregation with map-side partials and a join, so neither a component nor a hub's
-neighbours ever meet in one task (Spark splits the hot keys of the joins); steps are written to the
-shared folder, which bounds the lineage.
+Every step is an aggregation with map-side partials and a join of links, 16 bytes each; every pair of
+steps is written to the shared folder, which bounds the lineage.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ def _settled(edges: DataFrame) -> bool:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) with u > v; each node's chosen neighbours are tied to the least of them and itself."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = materialize(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     tied = around.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,5 +35,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = materialize(edges, "edges")
     while not _settled(edges):
-        edges = materialize(_star(materialize(_star(edges, True), "large"), False), "small")
+        edges = materialize(_star(_star(edges, True), False), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -27,12 +27,12 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialize, slices, text_buffers
@@ -47,8 +47,8 @@ BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 18
 #: Equal texts known beforehand to every task, at most (16 bytes each); others just travel as nodes of distance 0.
 MOST_KNOWN = 4_000_000
-SMALL_REGION = 48
-PIVOTS = 16
+SMALL_REGION = 1024
+PIVOTS = 64
 KEY_BITS = 48
 
 
@@ -218,34 +218,41 @@ def _survivors(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(nodes), "size": pa.array(size), "weight": pa.array(weight), "keys": lists})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _same(c: Column) -> Column:
+    return c
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
     """(a, b, inter, union, link) of pairs, exactly: keys that nobody shares can't lie in both."""
     a = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("keys").alias("ka"))
     b = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("keys").alias("kb"))
-    inter = F.size(F.array_intersect("ka", "kb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", inter.alias("inter"), (F.col("na") + F.col("nb") - inter).alias("union")).withColumn("link", 100 * F.col("inter") >= 75 * F.col("union"))
+    inter = F.size(F.array_intersect(keys(F.col("ka")), keys(F.col("kb"))))
+    out = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", inter.alias("inter"))
+    return out.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("union")).withColumn("link", 100 * F.col("inter") >= 75 * F.col("union"))
 
 
-def _fits(n: str, m: str):
-    """Sizes that a similarity of 3/4 allows."""
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m))
+def _fits(x: str, y: str):
+    """Whether a similarity of 3/4 is possible, which asks for 7 |x & y| >= 3 (|x| + |y|): two sets
+    whose first common key is this region's share no more than what remains of either from it on."""
+    at = lambda name, k: F.col(f"{name}.{k}" if name else k)
+    return 7 * F.least(at(x, "rest"), at(y, "rest")) >= 3 * (at(x, "size") + at(y, "size"))
 
 
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of the regions that hold two components or more, with their component."""
     out = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = out.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.max_by("comp", F.struct("weight", "node")).alias("main")).where("lo <> hi")
-    return out.join(materialize(open_.select("region", "members", "main"), "open"), "region")
+    return out.join(open_.select("region", "members", "main"), "region")
 
 
 def _small_pairs(open_: DataFrame) -> DataFrame:
     """All cross-component pairs of regions of at most SMALL_REGION members."""
-    group = open_.where(F.col("members") <= SMALL_REGION).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "size", "comp"))).alias("m"))
+    group = open_.where(F.col("members") <= SMALL_REGION).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "size", "rest", "comp"))).alias("m"))
     left = group.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL_REGION)).alias("y"))
-    return left.where((F.col("x.comp") != F.col("y.comp")) & _fits("x.size", "y.size")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return left.where((F.col("x.comp") != F.col("y.comp")) & _fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame) -> DataFrame:
+def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
     """Settles regions by document pivots until each holds one component; (node, comp)."""
     turn = 0
     while True:
@@ -256,13 +263,14 @@ def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFr
         large = open_.where(F.col("members") > SMALL_REGION)
         # pivots: members outside the main component, one a slot, by a hash that changes every turn
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-        pivots = materialize(large.where("comp <> main").groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn + 1))).alias("p")).select("region", "p"), "pivots")
-        if pivots.isEmpty() and small.isEmpty():
-            return comp
+        pivots = materialize(large.where("comp <> main").groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("node", "size", "rest", "comp"), F.xxhash64("node", F.lit(turn + 1))).alias("p")).select("region", "p"), "pivots")
+        if pivots.isEmpty():  # no large region is left: the small ones' pairs settle the rest
+            found = _verified(small, sets, keys).where("link").select("a", "b")
+            return materialize(components(materialize(links.unionByName(found), "links")), "components")
         spread = large.join(pivots, "region").where("node <> p.node")
-        spread = materialize(spread.select("region", "node", "size", "weight", "comp", "p"), "spread")
-        tests = spread.where((F.col("comp") != F.col("p.comp")) & _fits("size", "p.size")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        done = materialize(_verified(tests.unionByName(small).distinct(), sets), "tests")
+        spread = materialize(spread.select("region", "node", "size", "rest", "weight", "comp", "p"), "spread")
+        tests = spread.where((F.col("comp") != F.col("p.comp")) & _fits("", "p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        done = materialize(_verified(tests.unionByName(small).distinct(), sets, keys), "tests")
         found = done.where("link").select("a", "b")
         links = materialize(links.unionByName(found), "links")
         comp = materialize(components(links), "components")
@@ -276,24 +284,25 @@ def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFr
         load = cells.groupBy("region").agg(F.count("*").alias("replicas")).join(exact, "region").join(far.groupBy("region").agg(F.count_distinct("node").alias("n")), "region")
         # a region is cut into cells where all distances are known and the windows stay thin
         cut = materialize(load.where((F.col("unknown") == 0) & (2 * F.col("replicas") <= 3 * F.col("n"))).select("region"), "cut")
-        whole = far.join(cut, "region", "left_anti").select("region", "node", "size", "weight").distinct()
-        parts = cells.join(cut, "region", "left_semi").select(F.xxhash64("region", "p.node").alias("region"), "node", "size", "weight")
+        whole = far.join(cut, "region", "left_anti").select("region", "node", "size", "rest", "weight").distinct()
+        parts = cells.join(cut, "region", "left_semi").select(F.xxhash64("region", "p.node").alias("region"), "node", "size", "rest", "weight")
         members = materialize(whole.unionByName(parts), "members")
         turn += 2
 
 
-def settle(members: DataFrame, sets: DataFrame) -> DataFrame:
+def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
     """(node, comp) of the linked nodes, from regions in which any two partners meet; ``members`` has
-    (region, node, size, weight), ``sets`` (node, size, keys)."""
+    (region, node, size, rest, weight), ``sets`` (node, size, keys), where
+    ``keys`` may be anything that the function ``keys`` turns into the set."""
     # the first pivot of each document: the most central member of any of its regions
-    hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node", "size", "rest")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs.select("region", "hub"), "hubs")
-    first = members.join(hubs, "region").where((F.col("node") != F.col("hub.node")) & _fits("size", "hub.size"))
+    first = members.join(hubs, "region").where((F.col("node") != F.col("hub.node")) & _fits("", "hub"))
     first = first.groupBy("node").agg(F.max("hub").alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = materialize(_verified(first, sets).where("link").select("a", "b"), "links")
+    links = materialize(_verified(first, sets, keys).where("link").select("a", "b"), "links")
     comp = materialize(components(links), "components")
-    members = members.join(hubs.select("region"), "region", "left_semi").select("region", "node", "size", "weight")
-    return _recurse(members, sets, links, comp)
+    members = members.join(hubs.select("region"), "region", "left_semi").select("region", "node", "size", "rest", "weight")
+    return _recurse(members, sets, links, comp, keys)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +326,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     if known is None:
         sets = sets.dropDuplicates(["node"])
     window = F.size("keys") - F.ceil(3 * F.col("size") / 4).cast("int") + 1
-    members = materialize(sets.select("node", "size", "weight", F.explode(F.slice("keys", F.lit(1), window)).alias("region")), "windows")
+    members = sets.select("node", "size", "weight", F.size("keys").cast("long").alias("m"), F.posexplode(F.slice("keys", F.lit(1), window)).alias("at", "region"))
+    members = materialize(members.select("region", "node", "size", (F.col("m") - F.col("at")).alias("rest"), "weight"), "windows")
 
     comp = settle(members, sets)
 

@@ -63,14 +63,17 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gap = F.transform(at, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(x - F.get(at, k - 1), F.lit(3).cast("long"))))
     repeat = F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
+    out = (
         out.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", repeat)
         .withColumn("base_failed", failed)
-        .drop("_t", "_trim", "_w", "_lines", "_mask", "_s", "_at")
     )
+    # through a generator, past which no later filter is pushed: inlined there, the arrays would be
+    # made anew for each of their elements
+    made = F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    return out.select(*docs.columns, F.inline(made))
 
 
 def _features() -> list[Column]:
