@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Candidates are runs of token characters of at least ``WINDOW`` bytes, found for a whole slice of
-the table at once.  A window slides over each; its entropy is kept by incremental counts (one
-character leaves, one enters) and held against the threshold of the candidate's character class.
-Windows over the threshold merge into spans.  Allow-listed candidates (identifiers, paths,
-placeholders, alphabets) are suppressed.
+the table at once, and their parts between separators.  A window slides over each; its entropy is
+kept by incremental counts (one character leaves, one enters) and held against the threshold of the
+candidate's character class.  Windows over the threshold merge into spans.  Allow-listed candidates
+(words of one case, Capitalised or in camelCase with humps of at least four letters, paths of such
+words, identifiers, placeholders) are suppressed, and so are letters of one case alone.
 
 Defined results: a null text counts as empty and has no spans; a null id is carried; repeated rows
 are scanned once each; an empty table gives no rows; texts are scanned whole, whatever their length.
@@ -30,10 +31,13 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 WINDOW = 20
 #: Least entropy in bits a character of a window, by class; digits alone and one case alone are no secrets.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.7, "letters": 4.1}
+#: ``mixed`` and ``letters`` hold separators; the others are one alphabet throughout, and under 1 % of
+#: random windows of base32 to base62 lie below.
+THRESHOLDS = {"hex": 3.0, "mixed": 3.7, "letters": 4.1, "base32": 3.2, "base36": 3.3, "base52": 3.5, "base62": 3.5}
+_WORD = rb"(?:[A-Z]+|[A-Z]?[a-z]+|[a-z]+(?:[A-Z][a-z]{3,})+|(?:[A-Z][a-z]{3,}){2,})(?![A-Za-z])"
 ALLOWED = (
     rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
-    rb"[A-Za-z]+(?:[/_=+-]+[A-Za-z]+)*[/_=+-]*",  # words and paths
+    _WORD + rb"(?:[/_=+-]+" + _WORD + rb")*[/_=+-]*",  # words and paths
     rb"[0-9_/=+-]+(?:T[0-9]+Z?)?",  # numbers, dates
     rb"(?i:.*(?:example|placeholder|xxxx|changeme|your_?).*)",
     rb"(?:sha(?:1|256|384|512)|md5)[-=:].*",
@@ -63,11 +67,17 @@ def _runs(mask: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def char_class(run: bytes) -> str | None:
-    """Of a candidate: hex, mixed (a digit and a letter), letters (both cases), or none that hides a secret."""
+    """Of a candidate: hex; base32, base36 (one case and digits), base52 (letters of both cases) or base62; with
+    separators mixed (a digit and a letter) or letters (both cases); or none that hides a secret."""
     digit, lower, upper = (any(x <= c <= y for c in run) for x, y in ((48, 57), (97, 122), (65, 90)))
+    if re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run):
+        return "hex" if digit and (lower or upper) else None
+    plain = run.isalnum()
+    if lower and upper:
+        return ("base62" if plain else "mixed") if digit else "base52" if plain else "letters"
     if digit and (lower or upper):
-        return "hex" if re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run) else "mixed"
-    return "letters" if lower and upper else None
+        return ("base32" if re.fullmatch(rb"[a-z2-7]+|[A-Z2-7]+", run) else "base36") if plain else "mixed"
+    return None
 
 
 def entropy_spans(run: bytes, window: int, least: float) -> list[tuple[int, int]]:
@@ -96,6 +106,23 @@ class Scanner:
         self.window, self.thresholds = window, thresholds
         self.allowed = re.compile(b"|".join(b"(?:" + a + b")" for a in allowed), re.S).fullmatch
 
+    def high(self, run: bytes) -> list[tuple[int, int]]:
+        """Merged spans of a candidate and of its parts between separators."""
+        if self.allowed(run):
+            return []
+        parts = [(m.start(), m[0]) for m in re.finditer(rb"[A-Za-z0-9]+", run) if self.window <= len(m[0]) < len(run)]
+        spans, out = [], []
+        for start, part in [(0, run), *((x, p) for x, p in parts if not self.allowed(p))]:
+            kind = char_class(part)
+            if kind:
+                spans += [(start + x, start + y) for x, y in entropy_spans(part, self.window, self.thresholds[kind])]
+        for x, y in sorted(spans):
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
+        return out
+
     def scan(self, data: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """(start, kind, end) in bytes of the text, sorted, for each row that has any."""
         found: dict[int, list[tuple[int, int, int]]] = {}
@@ -126,11 +153,8 @@ class Scanner:
         for a, b in zip(*(x.tolist() for x in _runs(_HEX[data], at, 32))):
             put(a, b, 2)
         for a, b in zip(*(x.tolist() for x in _runs(_TOKEN[data], at, self.window))):
-            run = raw[a:b]
-            kind = char_class(run)
-            if kind and not self.allowed(run):
-                for x, y in entropy_spans(run, self.window, self.thresholds[kind]):
-                    put(a + x, a + y, 3)
+            for x, y in self.high(raw[a:b]):
+                put(a + x, a + y, 3)
         for k, spans in found.items():
             base = [s for s in spans if s[1] < 3]
             found[k] = sorted(base + [s for s in spans if s[1] == 3 and not any(b[0] <= s[0] and s[2] <= b[2] for b in base)])
