@@ -3,7 +3,8 @@
 One scan gives every line its hash and, from ``LEAST_CHARS`` characters on, a bottom-k MinHash
 signature: the ``K`` least hashes of its character shingles that start at words.  Every pair of the
 K values is a band, so lines of similarity 3/4 meet in one with a probability of about 0.94, and of
-0.9 with one of about 0.99.
+0.9 with one of about 0.99.  Lines with few word starts for their length (no spaces, long tokens)
+also have the ``K_WIDE`` least hashes of the shingles at all their characters, in pairs as well.
 Lines that meet are verified by the exact Jaccard similarity of all their character shingles, and
 regions and components are settled as in the Jaccard join: by central pivots, cross-component pairs
 and distributed union-find.  Of each component, and of each group of equal lines, the occurrence
@@ -29,17 +30,38 @@ LEAST_CHARS = 40
 #: Characters of a shingle of the signature, which starts at a word, and of one that is verified.
 START_CHARS, WIDTH = 16, 5
 K = 5
+#: Characters of a shingle at every place, and their number, of lines with fewer distinct word starts
+#: than FEW_STARTS or than one in START_CHARS characters.
+WIDE_CHARS, K_WIDE, FEW_STARTS = 8, 6, 12
+
+
+def _everywhere(line: Column, width: int) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+
+
+def _hashes(parts: Column) -> Column:
+    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
 
 
 def _shingles(line: Column) -> Column:
     """Distinct character shingles of a line, as hashes; a shorter line is one shingle."""
-    all_ = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.size(all_) > 0, all_).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+    all_ = _everywhere(line, WIDTH)
+    return _hashes(F.when(F.size(all_) > 0, all_).otherwise(F.array(line)))
+
+
+def _starts(line: Column) -> Column:
+    return _hashes(F.regexp_extract_all(line, F.lit(f"(?s)(?:^| )(?=(.{{1,{START_CHARS}}}))"), F.lit(1)))
+
+
+def _least(hashes: Column, k: int) -> Column:
+    return F.slice(F.sort_array(hashes), 1, k)
 
 
-def _signature(line: Column) -> Column:
-    starts = F.regexp_extract_all(line, F.lit(f"(?s)(?:^| )(?=(.{{1,{START_CHARS}}}))"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x)))), 1, K)
+def _pairs(signature: str, k: int) -> Column:
+    """Hashes of all pairs of a signature; of the only value where there is one."""
+    s = F.col(signature)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.transform(F.slice(s, i + 1, k), lambda y: F.xxhash64(F.element_at(s, i), y))))
+    return F.when(F.size(s) > 1, pairs).otherwise(s)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,18 +72,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, line_no, node, signature), written once; node is null for blank lines."""
-    rows = _lines(docs, id_col, text_col)
-    node = F.when(F.col("line") != "", F.xxhash64("line"))
-    signature = F.when(F.length("line") >= LEAST_CHARS, _signature(F.col("line")))
-    return materialize(rows.select("rid", "doc_id", "line_no", node.alias("node"), signature.alias("signature")), "lines")
+    """(rid, doc_id, line_no, node, signature, wide), written once; node is null for blank lines."""
+    line, starts, few = F.col("line"), F.col("starts"), F.col("few")
+    long_ = F.length("line") >= LEAST_CHARS
+    rows = _lines(docs, id_col, text_col).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", _starts(line))
+    rows = rows.withColumn("few", (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
+    wide = F.when(few & long_, _least(_hashes(_everywhere(line, WIDE_CHARS)), K_WIDE))
+    return materialize(rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("signature"), wide.alias("wide")), "lines")
 
 
 def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the lines that resemble another."""
-    signed = lines.where("signature is not null").groupBy("node").agg(F.first("signature").alias("s"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.transform(F.slice("s", i + 1, K), lambda y: F.xxhash64(F.element_at("s", i), y))))
-    bands = signed.select("node", F.explode(F.when(F.size("s") > 1, pairs).otherwise(F.col("s"))).alias("region"))
+    signed = lines.where("signature is not null").groupBy("node").agg(F.first("signature").alias("s"), F.first("wide").alias("w"))
+    bands = signed.select("node", F.explode(_pairs("s", K)).alias("region"))
+    wide = signed.where("w is not null").select("node", F.explode(_pairs("w", K_WIDE)).alias("h")).select("node", F.xxhash64(F.lit("wide"), F.col("h")).alias("region"))
+    bands = bands.unionByName(wide)
     shared = materialize(bands.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "shared-bands")
     few = shared.count() <= MOST_KNOWN
     members = materialize(bands.join(F.broadcast(shared) if few else shared, "region", "left_semi"), "banded")
