@@ -5,6 +5,9 @@ signature: the ``K`` least hashes of its character shingles that start at words.
 K values is a band, so lines of similarity 3/4 meet in one with a probability of about 0.94, and of
 0.9 with one of about 0.99.  Lines with few word starts for their length (no spaces, long tokens)
 also have the ``K_WIDE`` least hashes of the shingles at all their characters, in pairs as well.
+Lines of at most ``MOST_KEYS`` character shingles, which are all that a line under ``LEAST_CHARS``
+can resemble, meet without loss: in the regions of their rarest shared shingles, as documents do in
+the Jaccard join.
 Lines that meet are verified by the exact Jaccard similarity of all their character shingles, and
 regions and components are settled as in the Jaccard join: by central pivots, cross-component pairs
 and distributed union-find.  Of each component, and of each group of equal lines, the occurrence
@@ -12,8 +15,8 @@ that is first by document id and line number stays.
 
 Only hashes move; of the texts, just those of lines that share a band are fetched.
 
-Defined results: blank lines always stay; shorter lines go only as exact repeats; a null text is one
-blank line; a null id comes before all others; repeated rows are documents of their own, whose later
+Defined results: blank lines always stay; a line under a shingle's width goes only as an exact repeat;
+a null text is one blank line; a null id comes before all others; repeated rows are documents of their own, whose later
 lines go; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +36,8 @@ K = 5
 #: Characters of a shingle at every place, and their number, of lines with fewer distinct word starts
 #: than FEW_STARTS or than one in START_CHARS characters.
 WIDE_CHARS, K_WIDE, FEW_STARTS = 8, 6, 12
+#: A line under LEAST_CHARS has at most LEAST_CHARS - WIDTH shingles, and a line 4/3 of them if alike.
+MOST_KEYS = 4 * (LEAST_CHARS - WIDTH) // 3
 
 
 def _everywhere(line: Column, width: int) -> Column:
@@ -72,21 +77,37 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, line_no, node, signature, wide), written once; node is null for blank lines."""
-    line, starts, few = F.col("line"), F.col("starts"), F.col("few")
+    """(rid, doc_id, line_no, node, signature, wide, keys), written once; node is null for blank lines."""
+    line, starts, keys, few = F.col("line"), F.col("starts"), F.col("keys"), F.col("few")
     long_ = F.length("line") >= LEAST_CHARS
     rows = _lines(docs, id_col, text_col).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", _starts(line))
     rows = rows.withColumn("few", (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
+    # no line has fewer shingles than its beginning
+    head = F.size(F.array_distinct(_everywhere(F.substring("line", 1, 64), WIDTH))) <= MOST_KEYS
+    rows = rows.withColumn("keys", F.when(F.col("node").isNotNull() & head, _shingles(line)))
     wide = F.when(few & long_, _least(_hashes(_everywhere(line, WIDE_CHARS)), K_WIDE))
-    return materialize(rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("signature"), wide.alias("wide")), "lines")
+    return materialize(rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("signature"), wide.alias("wide"), F.when(F.size(keys) <= MOST_KEYS, keys).alias("keys")), "lines")
+
+
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """(region, node, rest) of the lines with few shingles: their rarest shared shingles, as many as two
+    lines of similarity 3/4 need to meet in the rarest that they share."""
+    sets = lines.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"))
+    postings = materialize(sets.select("node", F.size("keys").alias("size"), F.explode("keys").alias("key")), "short-postings")
+    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    sets = postings.join(shared, "key").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("m"))
+    window = F.size("m") - F.ceil(3 * F.col("size") / 4).cast("int") + 1
+    rows = sets.where(window > 0).select("node", F.size("m").cast("long").alias("n"), F.posexplode(F.slice("m", F.lit(1), window)).alias("at", "x"))
+    return rows.select(F.xxhash64(F.lit("key"), F.col("x.key")).alias("region"), "node", (F.col("n") - F.col("at")).alias("rest"))
 
 
 def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the lines that resemble another."""
     signed = lines.where("signature is not null").groupBy("node").agg(F.first("signature").alias("s"), F.first("wide").alias("w"))
-    bands = signed.select("node", F.explode(_pairs("s", K)).alias("region"))
-    wide = signed.where("w is not null").select("node", F.explode(_pairs("w", K_WIDE)).alias("h")).select("node", F.xxhash64(F.lit("wide"), F.col("h")).alias("region"))
-    bands = bands.unionByName(wide)
+    none = F.lit(None).cast("long")
+    bands = signed.select("node", F.explode(_pairs("s", K)).alias("region"), none.alias("rest"))
+    wide = signed.where("w is not null").select("node", F.explode(_pairs("w", K_WIDE)).alias("h")).select("node", F.xxhash64(F.lit("wide"), F.col("h")).alias("region"), none.alias("rest"))
+    bands = bands.unionByName(wide).unionByName(_prefixes(lines))
     shared = materialize(bands.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "shared-bands")
     few = shared.count() <= MOST_KNOWN
     members = materialize(bands.join(F.broadcast(shared) if few else shared, "region", "left_semi"), "banded")
@@ -95,7 +116,7 @@ def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
     texts = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
     sets = texts.groupBy("node").agg(F.first("line").alias("keys")).withColumn("size", F.size(_shingles(F.col("keys"))).cast("long"))
     sets = materialize(sets, "candidate-lines")
-    members = members.join(sets.select("node", "size"), "node").withColumn("rest", F.col("size")).withColumn("weight", F.lit(0.0))
+    members = members.join(sets.select("node", "size"), "node").withColumn("rest", F.coalesce("rest", "size")).withColumn("weight", F.lit(0.0))
     return settle(materialize(members, "members"), sets, _shingles)
 
 
