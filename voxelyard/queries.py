@@ -126,6 +126,13 @@ def z_order_traversal(spark, sf_dir):
     return v.df.select("brick_idx", spacefill.morton3d(*AXES).alias("morton"), "label").orderBy("morton")
 
 
+@query("z_order_traversal_whole", f"WITH {V1} SELECT {BRICK} AS brick_idx, {M3} AS morton, label FROM v ORDER BY morton")
+def z_order_traversal_whole(spark, sf_dir):
+    """The whole Z curve, of which ``z_order_traversal`` is the first eight slices."""
+    v = v1(spark, sf_dir).with_brick(SIDE)
+    return v.df.select("brick_idx", spacefill.morton3d(*AXES).alias("morton"), "label").orderBy("morton")
+
+
 # --- geometry -----------------------------------------------------------------------------------------
 
 
@@ -836,6 +843,15 @@ def chunk_files_roundtrip(spark, sf_dir):
     return volumes.read_chunks(spark, pattern, last).df
 
 
+@query("chunk_files_roundtrip_whole", f"WITH {V1} SELECT x, y, z, label FROM v")
+def chunk_files_roundtrip_whole(spark, sf_dir):
+    """All slices, of which ``chunk_files_roundtrip`` is the first; the last chunk along z is partial."""
+    pattern = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "c{}_{}_{}.vraw")
+    last = volumes.write_chunk_files(v1(spark, sf_dir), pattern, (20, 20, 12))
+    # voxels past the last order were written as 0
+    return volumes.read_chunks(spark, pattern, last).df.where(F.col("x") + W * F.col("y") + W * H * F.col("z") < table(spark, sf_dir, "orders").count())
+
+
 @query("csgv_table_roundtrip", WHOLE)
 def csgv_table_roundtrip(spark, sf_dir):
     v = v2(spark, sf_dir)
