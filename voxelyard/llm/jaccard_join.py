@@ -9,55 +9,63 @@ ceil(3|x|/4) + 1 rarest shared shingles (m of its shingles occur in other docume
 follows from the distance bound, and any two partners meet in the region of their rarest common
 shingle.  A document with fewer than ceil(3|x|/4) shared shingles has no partner and leaves at once.
 
-Regions then join recursively, with documents as pivots: the most central member of each region is
-held against the others, which settles most regions (all members in one component).  Small
-unsettled regions test all their cross-component pairs.  Large ones choose pivots among the members
-outside the main component, compute the exact distance of every member to them, form Voronoi cells
-around them with the triangle-inequality window d(y, p) <= d(y, nearest) + 2t for the boundary, and
-go on inside the cells, until nothing is unsettled.
+Regions then join with documents as pivots: Voronoi cells around them, windows of the triangle
+inequality that replicate boundary documents, and recursion (``voronoi.py``).
 
-Only links between different components are ever tested, which loses no component.  Shuffled keys
-are the upper 48 bits of the shingles' hashes; equal texts are one node (the 64-bit hash of the
-lower-cased text).
+Shuffled keys are the upper 48 bits of the shingles' hashes.  Postings travel in compressed pieces
+of one flush of one task; a shingle that occurs twice or more in a flush travels as a count and its
+postings wait with the flush's documents, so a bucket gets one entry a flush of the most frequent
+shingle.  Equal texts are one node, named by 64 bits of a 128-bit hash; texts whose names clash
+are found beforehand and named anew.
 
 Defined results: null and blank texts have no shingles and link with nothing; a null id takes part
 but is never a component's id unless it is alone; repeated rows are equal texts; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored.  ``keep_one`` keeps one row of each component (the least
+id, null last, and of repeated rows any one) and every blank text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, slices, text_buffers
-from .components import components
+from .common import ASCII_LOWER, materialize, plus, slices, text_buffers
 from .shingles import shingle_sets
+from .voronoi import settle
 
 WIDTH = 5
 #: Postings that a task gathers before it writes them out.
 FLUSH = 2_000_000
-#: Bytes of input a posting bucket stands for.
-BUCKET_BYTES = 4 << 20
-MOST_BUCKETS = 1 << 18
-#: Equal texts known beforehand to every task, at most (16 bytes each); others just travel as nodes of distance 0.
+#: Bytes of input a posting bucket stands for; beyond ``MANY_BUCKETS`` of them, buckets and their
+#: size both grow with the square root of the input (40 MB at 100 TB).
+BUCKET_BYTES, MANY_BUCKETS = 4 << 20, 1 << 18
+#: Equal texts known beforehand to every task, at most (16 bytes each); beyond it all copies travel
+#: and are united after the shuffle, with the same result.
 MOST_KNOWN = 4_000_000
-SMALL_REGION = 1024
-PIVOTS = 64
 KEY_BITS = 48
 
 
-def _text_hashes(column) -> np.ndarray:
+def _hash(text: bytes) -> int:
     import xxhash
 
+    return xxhash.xxh3_128_intdigest(text)
+
+
+def _text_hashes(column, clashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(name, check) of each lower-cased text; names among ``clashes`` are mixed with the check."""
     data, at = text_buffers(column)
-    raw, h = data.tobytes(), xxhash.xxh3_64_intdigest
-    return np.array([h(raw[a:b].translate(ASCII_LOWER)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64).view(np.int64)
+    raw = data.tobytes()
+    both = b"".join([_hash(raw[a:b].translate(ASCII_LOWER)).to_bytes(16, "little") for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+    name, check = np.frombuffer(both, "<i8").reshape(-1, 2).T.copy()
+    if clashes is not None and len(clashes):
+        twin = np.isin(name, clashes)
+        name[twin] ^= check[twin] * np.int64(0x5851F42D4C957F2D)
+    return name, check
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -95,16 +103,38 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("row_key"))
 
 
-def _known_copies(nodes: DataFrame):
+def _names(docs: DataFrame, kind: str, clashes: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, row_key, node, check) of every row, written once."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = _text_hashes(batch.column(1), clashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array(check)], ["doc_id", "row_key", "node", "check"])
+
+    return materialize(docs.mapInArrow(name, f"doc_id {kind}, row_key long, node long, check long"), "nodes")
+
+
+def _named(docs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The names of all rows, the texts that occur again, and the names that had clashed."""
+    clashes = np.empty(0, np.int64)
+    while True:
+        nodes = _names(docs, kind, clashes)
+        again = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min("check").alias("lo"), F.max("check").alias("hi")).where("n > 1")
+        again = materialize(again, "copies")
+        more = [r.node for r in again.where("lo <> hi").select("node").limit(MOST_KNOWN).collect()]  # some hundred among 10^11 texts
+        if not more:
+            return nodes, again.select("node", "row_key"), clashes
+        clashes = np.union1d(clashes, np.array(more, np.int64))
+
+
+def _known_copies(again: DataFrame):
     """Broadcast (node, row_key of the row that stands for it), sorted, of the texts that occur again."""
-    again = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key")).where("n > 1").select("node", "row_key")
-    again = materialize(again, "copies")
     if again.count() > MOST_KNOWN:
         return None
     got = again.toArrow()
     a, b = (got.column(k).to_numpy() for k in range(2))
     order = np.argsort(a)
-    return nodes.sparkSession.sparkContext.broadcast((a[order], b[order]))
+    return again.sparkSession.sparkContext.broadcast((a[order], b[order]))
 
 
 def _stands(nodes: np.ndarray, keys: np.ndarray, known) -> np.ndarray:
@@ -116,9 +146,10 @@ def _stands(nodes: np.ndarray, keys: np.ndarray, known) -> np.ndarray:
     return (again[at] != nodes) | (rows[at] == keys)
 
 
-def _postings(docs: DataFrame, buckets: int, known) -> DataFrame:
-    """(bucket, src, blob): postings of one flush of one task that fall into a bucket of keys, and
-    with bucket -1 the flush's own documents (node, size)."""
+def _postings(docs: DataFrame, buckets: int, known, clashes: np.ndarray) -> DataFrame:
+    """(bucket, src, blob): of one flush of one task, the shingles that fall into a bucket, each with
+    its document or, if it has several, with their number; and in bucket -1 - src the flush's own
+    documents (node, size) and postings of the shingles with several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,16 +166,21 @@ def _postings(docs: DataFrame, buckets: int, known) -> DataFrame:
             docs_at = np.repeat(np.arange(len(sets), dtype=np.uint64), size)
             order = np.argsort(keys, kind="stable")
             keys, docs_at = keys[order], docs_at[order]
-            edge = np.searchsorted((keys >> np.uint64(KEY_BITS - 24)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1, dtype=np.uint64))
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            times = np.diff(np.append(start, len(keys)))
+            several = np.repeat(times > 1, times)
+            mine = _pack(np.array(nodes, np.int64).view(np.uint64), size.astype(np.uint64), _deltas(keys[several]), docs_at[several])
+            said = np.where(times > 1, times.astype(np.uint64) * np.uint64(2) + np.uint64(1), docs_at[start] * np.uint64(2))
+            keys = keys[start]
+            edge = np.searchsorted((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(edge)).tolist()
-            blobs = [_pack(_deltas(keys[edge[b] : edge[b + 1]]), docs_at[edge[b] : edge[b + 1]]) for b in used]
-            mine = _pack(np.array(nodes, np.int64).view(np.uint64), size.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([*used, -1], pa.int32()), pa.array([src] * (len(used) + 1)), pa.array([*blobs, mine], pa.binary())], ["bucket", "src", "blob"])
+            blobs = [_pack(_deltas(keys[edge[b] : edge[b + 1]]), said[edge[b] : edge[b + 1]]) for b in used]
+            yield pa.RecordBatch.from_arrays([pa.array([*used, -1 - src], pa.int64()), pa.array([src] * (len(used) + 1), pa.int64()), pa.array([*blobs, mine], pa.binary())], ["bucket", "src", "blob"])
             sets.clear(), nodes.clear()
             src, held = src + 1, 0
 
         for batch in batches:
-            node = _text_hashes(batch.column(1))
+            node, _ = _text_hashes(batch.column(1), clashes)
             keep = _stands(node, batch.column(2).to_numpy(), known)
             data, at = text_buffers(batch.column(1))
             for first, last in slices(at):
@@ -161,51 +197,56 @@ def _postings(docs: DataFrame, buckets: int, known) -> DataFrame:
         if sets:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, src long, blob binary")
+    return docs.mapInArrow(run, "bucket long, src long, blob binary")
 
 
 def _shared(key: tuple, part: pa.Table) -> pa.Table:
-    """Of one bucket: its postings whose key occurs in two documents or more, by source again."""
+    """Of one bucket: its entries whose shingle occurs in two documents or more, by source again."""
     src = part["src"].to_numpy()
     if key[0].as_py() < 0:
         return part.select(["src", "blob"])
-    keys, docs_at, owner = [], [], []
+    keys, said, owner = [], [], []
     for k, blob in enumerate(part["blob"]):
         d, a = _unpack(blob.as_py())
-        keys.append(np.cumsum(d, dtype=np.uint64)), docs_at.append(a), owner.append(np.full(len(a), k, np.int32))
-    keys, docs_at, owner = np.concatenate(keys), np.concatenate(docs_at), np.concatenate(owner)
+        keys.append(np.cumsum(d, dtype=np.uint64)), said.append(a), owner.append(np.full(len(a), k, np.int32))
+    keys, said, owner = np.concatenate(keys), np.concatenate(said), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
-    keys, docs_at, owner = keys[order], docs_at[order], owner[order]
+    keys, said, owner = keys[order], said[order], owner[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    times = np.diff(np.append(start, len(keys)))
-    df = np.repeat(times, times)
+    df = np.add.reduceat(np.where(said & np.uint64(1), said >> np.uint64(1), np.uint64(1)), start)
+    df = np.repeat(df, np.diff(np.append(start, len(keys))))
     keep = df > 1
-    keys, docs_at, owner, df = keys[keep], docs_at[keep], owner[keep], df[keep]
+    keys, said, owner, df = keys[keep], said[keep], owner[keep], df[keep]
     order = np.argsort(owner, kind="stable")
     edge = np.searchsorted(owner[order], np.arange(len(src) + 1))
     used = [k for k in range(len(src)) if edge[k + 1] > edge[k]]
     blobs = []
     for k in used:
         o = order[edge[k] : edge[k + 1]]
-        blobs.append(_pack(_deltas(keys[o]), docs_at[o], df[o].astype(np.uint64)))
+        blobs.append(_pack(_deltas(keys[o]), said[o], df[o]))
     return pa.table({"src": pa.array(src[used], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _survivors(part: pa.Table) -> pa.Table:
-    """Of one source: the documents that share enough, their shared keys by rarity, and all sizes."""
+    """Of one source: the documents that share enough, their shared shingles by rarity, and all sizes."""
     own, blobs = None, []
     for blob in part["blob"]:
         arrays = _unpack(blob.as_py())
-        if len(arrays) == 2:
+        if len(arrays) == 4:
             own = arrays
         else:
             blobs.append(arrays)
     nodes, size = own[0].view(np.int64), own[1].astype(np.int64)
-    if blobs:
-        keys = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs]).view(np.int64)
-        docs_at, df = (np.concatenate([b[k] for b in blobs]).astype(np.int64) for k in (1, 2))
-    else:
-        keys = docs_at = df = np.empty(0, np.int64)
+    keys = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(b[0], dtype=np.uint64) for b in blobs)])
+    said, df = (np.concatenate([np.empty(0, np.uint64), *(b[k] for b in blobs)]) for k in (1, 2))
+    several = (said & np.uint64(1)).astype(bool)
+    names, counts = keys[several], df[several]
+    order = np.argsort(names)
+    names, counts = names[order], counts[order]
+    mine = np.cumsum(own[2], dtype=np.uint64)
+    keys = np.concatenate([keys[~several], mine]).view(np.int64)
+    docs_at = np.concatenate([said[~several] >> np.uint64(1), own[3]]).astype(np.int64)
+    df = np.concatenate([df[~several], counts[np.searchsorted(names, mine)]]).astype(np.int64)
     many = np.bincount(docs_at, minlength=len(nodes))
     keep = 4 * many >= 3 * size
     chosen = keep[docs_at]
@@ -218,132 +259,58 @@ def _survivors(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(nodes), "size": pa.array(size), "weight": pa.array(weight), "keys": lists})
 
 
-def _same(c: Column) -> Column:
-    return c
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
-    """(a, b, inter, union, link) of pairs, exactly: keys that nobody shares can't lie in both."""
-    a = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("keys").alias("ka"))
-    b = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("keys").alias("kb"))
-    inter = F.size(F.array_intersect(keys(F.col("ka")), keys(F.col("kb"))))
-    out = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", inter.alias("inter"))
-    return out.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("union")).withColumn("link", 100 * F.col("inter") >= 75 * F.col("union"))
-
-
-def _fits(x: str, y: str):
-    """Whether a similarity of 3/4 is possible, which asks for 7 |x & y| >= 3 (|x| + |y|): two sets
-    whose first common key is this region's share no more than what remains of either from it on."""
-    at = lambda name, k: F.col(f"{name}.{k}" if name else k)
-    return 7 * F.least(at(x, "rest"), at(y, "rest")) >= 3 * (at(x, "size") + at(y, "size"))
-
-
-def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the regions that hold two components or more, with their component."""
-    out = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = out.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.max_by("comp", F.struct("weight", "node")).alias("main")).where("lo <> hi")
-    return out.join(open_.select("region", "members", "main"), "region")
-
-
-def _small_pairs(open_: DataFrame) -> DataFrame:
-    """All cross-component pairs of regions of at most SMALL_REGION members."""
-    group = open_.where(F.col("members") <= SMALL_REGION).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "size", "rest", "comp"))).alias("m"))
-    left = group.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL_REGION)).alias("y"))
-    return left.where((F.col("x.comp") != F.col("y.comp")) & _fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def _recurse(members: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
-    """Settles regions by document pivots until each holds one component; (node, comp)."""
-    turn = 0
-    while True:
-        open_ = materialize(_labelled(members, comp), "regions")
-        if open_.isEmpty():
-            return comp
-        small = materialize(_small_pairs(open_), "small-pairs")
-        large = open_.where(F.col("members") > SMALL_REGION)
-        # pivots: members outside the main component, one a slot, by a hash that changes every turn
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-        pivots = materialize(large.where("comp <> main").groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("node", "size", "rest", "comp"), F.xxhash64("node", F.lit(turn + 1))).alias("p")).select("region", "p"), "pivots")
-        if pivots.isEmpty():  # no large region is left: the small ones' pairs settle the rest
-            found = _verified(small, sets, keys).where("link").select("a", "b")
-            return materialize(components(materialize(links.unionByName(found), "links")), "components")
-        spread = large.join(pivots, "region").where("node <> p.node")
-        spread = materialize(spread.select("region", "node", "size", "rest", "weight", "comp", "p"), "spread")
-        tests = spread.where((F.col("comp") != F.col("p.comp")) & _fits("", "p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        done = materialize(_verified(tests.unionByName(small).distinct(), sets, keys), "tests")
-        found = done.where("link").select("a", "b")
-        links = materialize(links.unionByName(found), "links")
-        comp = materialize(components(links), "components")
-        # cells: a pair that was not tested counts as distance 0 in its own component, else as 1
-        gap = done.select("a", "b", (1 - F.col("inter") / F.col("union")).alias("d"))
-        far = spread.withColumn("a", F.least("node", "p.node")).withColumn("b", F.greatest("node", "p.node")).join(gap, ["a", "b"], "left")
-        far = far.join(pivots.select("region", F.col("p.node").alias("node")).distinct(), ["region", "node"], "left_anti")
-        exact = far.groupBy("region").agg(F.sum(F.col("d").isNull().cast("int")).alias("unknown"))
-        near = far.groupBy("region", "node").agg(F.min("d").alias("nearest"))
-        cells = far.join(near, ["region", "node"]).where(F.col("d") <= F.col("nearest") + 2 * 0.25)
-        load = cells.groupBy("region").agg(F.count("*").alias("replicas")).join(exact, "region").join(far.groupBy("region").agg(F.count_distinct("node").alias("n")), "region")
-        # a region is cut into cells where all distances are known and the windows stay thin
-        cut = materialize(load.where((F.col("unknown") == 0) & (2 * F.col("replicas") <= 3 * F.col("n"))).select("region"), "cut")
-        whole = far.join(cut, "region", "left_anti").select("region", "node", "size", "rest", "weight").distinct()
-        parts = cells.join(cut, "region", "left_semi").select(F.xxhash64("region", "p.node").alias("region"), "node", "size", "rest", "weight")
-        members = materialize(whole.unionByName(parts), "members")
-        turn += 2
-
-
-def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same) -> DataFrame:
-    """(node, comp) of the linked nodes, from regions in which any two partners meet; ``members`` has
-    (region, node, size, rest, weight), ``sets`` (node, size, keys), where
-    ``keys`` may be anything that the function ``keys`` turns into the set."""
-    # the first pivot of each document: the most central member of any of its regions
-    hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node", "size", "rest")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialize(hubs.select("region", "hub"), "hubs")
-    first = members.join(hubs, "region").where((F.col("node") != F.col("hub.node")) & _fits("", "hub"))
-    first = first.groupBy("node").agg(F.max("hub").alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = materialize(_verified(first, sets, keys).where("link").select("a", "b"), "links")
-    comp = materialize(components(links), "components")
-    members = members.join(hubs.select("region"), "region", "left_semi").select("region", "node", "size", "rest", "weight")
-    return _recurse(members, sets, links, comp, keys)
-
-
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(doc_id, row_key, node) of every row; (node, least, comp, n_shingles) of every text; clashes."""
     rows = _inputs(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_text_hashes(batch.column(1)))], ["doc_id", "row_key", "node"])
-
-    nodes = materialize(rows.mapInArrow(name, f"doc_id {kind}, row_key long, node long"), "nodes")
-    known = _known_copies(nodes)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(16, min(MOST_BUCKETS, size // BUCKET_BYTES))
-    posted = _postings(rows, buckets, known).withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("src"), F.lit(64)).cast("int")).otherwise(F.col("bucket")))
-    shared = posted.groupBy("bucket").applyInArrow(_shared, "src long, blob binary")
+    nodes, again, clashes = _named(rows, rows.schema["doc_id"].dataType.simpleString())
+    known = _known_copies(again)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BUCKET_BYTES
+    buckets = max(16, size if size <= MANY_BUCKETS else int((size * MANY_BUCKETS) ** 0.5))
+    shared = _postings(rows, buckets, known, clashes).groupBy("bucket").applyInArrow(_shared, "src long, blob binary")
     found = materialize(shared.groupBy("src").applyInArrow(_survivors, "node long, size long, weight double, keys array<long>"), "sets")
     sizes = found.select("node", "size").dropDuplicates(["node"])
     sets = found.where("keys is not null")
     if known is None:
-        sets = sets.dropDuplicates(["node"])
+        sets = materialize(sets.dropDuplicates(["node"]), "distinct-sets")
     window = F.size("keys") - F.ceil(3 * F.col("size") / 4).cast("int") + 1
-    members = sets.select("node", "size", "weight", F.size("keys").cast("long").alias("m"), F.posexplode(F.slice("keys", F.lit(1), window)).alias("at", "region"))
-    members = materialize(members.select("region", "node", "size", (F.col("m") - F.col("at")).alias("rest"), "weight"), "windows")
+    comp = settle(sets.select("node", "weight", F.explode(F.slice("keys", F.lit(1), window)).alias("region")), sets)
+    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
+    texts = least.join(comp, "node", "left").join(sizes, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"))
+    return nodes, materialize(texts, "texts"), clashes
 
-    comp = settle(members, sets)
 
-    # the least document of every component and of every text
-    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
-    texts = materialize(least.join(comp, "node", "left").join(sizes, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles")), "texts")
-    ids = texts.join(comp.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("component"))
-    ids = materialize(ids, "component-ids")
-    texts = materialize(texts.join(ids, "comp", "left").select("node", "n_shingles", F.coalesce("component", "least").alias("component")), "text-ids")
-    out = nodes.join(texts, "node")
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id."""
+    nodes, texts, _ = _components(docs, id_col, text_col)
+    # the least document of every component; most texts are a component of their own
+    ids = texts.groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("n")).where("n > 1").select("comp", "component")
+    texts = texts.join(ids, "comp", "left").select("node", "n_shingles", F.coalesce("component", "least").alias("component"))
+    out = nodes.join(materialize(texts, "text-ids"), "node")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: those whose id is the component's."""
-    linked = link(docs, id_col, text_col)
-    drop = materialize(linked.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    few = drop.count() <= MOST_KNOWN
-    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)
+    """The documents, one of each component, with all their columns."""
+    nodes, texts, clashes = _components(docs, id_col, text_col)
+    rows = nodes.join(texts.where("n_shingles > 0").select("node", "comp"), "node")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    groups = rows.groupBy("comp").agg(F.min(best).alias("best"), F.count("*").alias("n")).where("n > 1").select("comp", "best")
+    groups = texts.join(groups, "comp").select("node", F.col("best.doc_id").alias("best_id"), (F.col("node") == F.col("best.node")).alias("stays"))
+    groups = materialize(groups, "groups")
+    names, columns = [f"c{k}" for k in range(len(docs.columns))], docs.columns
+    where, key = columns.index(text_col), f"c{columns.index(id_col)}"
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, _ = _text_hashes(batch.column(where), clashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*names, "node"])
+
+    plain = docs.toDF(*names)
+    if dict(docs.dtypes)[text_col] != "string":
+        raise ValueError("the text must be a string")
+    marked = plain.mapInArrow(name, plus(plain.schema, "node long"))
+    few = groups.count() <= MOST_KNOWN
+    marked = marked.join(F.broadcast(groups) if few else groups, "node", "left")
+    best = marked.where(F.col("stays") & F.col(key).eqNullSafe(F.col("best_id")))
+    best = best.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.lit(0)))).where("rn = 1")
+    return marked.where("stays is null").select(names).unionByName(best.select(names)).toDF(*columns)
