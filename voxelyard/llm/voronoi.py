@@ -13,9 +13,9 @@ the components of all links:
    cells, Voronoi cells around these, and windows of the triangle inequality that replicate whatever
    lies near a border.  Regions beyond a task's bound are cut the same way by ``_divide``, as
    tables, until they fit; what no pivot can cut is joined block by block.
-3. Of the cells that are still in different components, the members near the border (by the triangle
-   inequality) are measured against the other pivot, and those near enough meet, again by
-   ``close_pairs``, region by region.
+3. Of two such cells that are still in different components, the members near the border (by the
+   triangle inequality) meet in the region of the wider one, again by ``close_pairs``: its own as
+   hosts, the replicas of the other's as guests, which need no test among themselves.
 
 Only links between different components are looked for, which loses no component.  No list of all
 pairs of a region is ever written: tables hold members, cells, and the pairs that come near.
@@ -36,7 +36,7 @@ from .components import components, forest
 #: Jaccard distance of partners, at most.
 T = 0.25
 #: Cells, and keys, that one task joins at once.
-BLOCK, BLOCK_KEYS = 1024, 1 << 20
+BLOCK, BLOCK_KEYS = 4096, 1 << 20
 #: Members that a recursion measures against each other without further pivots, and pivots it takes.
 LEAF, PIVOTS = 32, 8
 #: Pivots of a region that is cut as a table.
@@ -45,10 +45,11 @@ _EPS = 1e-12
 
 
 class Points:
-    """Sets of keys as rows, with their size, radius and colour (points of one colour need no test)."""
+    """Sets of keys as rows, with their size, radius and colour (points of one colour need no test,
+    nor do guests among themselves)."""
 
-    def __init__(self, keys: list[np.ndarray], size: np.ndarray, radius: np.ndarray, colour: np.ndarray):
-        self.size, self.radius, self.colour = size.astype(np.float64), radius, colour
+    def __init__(self, keys: list[np.ndarray], size: np.ndarray, radius: np.ndarray, colour: np.ndarray, guest: np.ndarray):
+        self.size, self.radius, self.colour, self.guest = size.astype(np.float64), radius, colour, guest
         edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
         _, ids = np.unique(np.concatenate(keys) if len(keys) else np.empty(0, np.int64), return_inverse=True)
         self.keys = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
@@ -75,17 +76,24 @@ def close_pairs(points: Points, reach: float = T, counts: dict | None = None) ->
     turn = 0
 
     def leaf(rows: np.ndarray) -> None:
-        d = points.distances(rows, rows)
-        near = d <= points.radius[rows][:, None] + points.radius[rows][None, :] + reach + _EPS
-        near &= points.colour[rows][:, None] != points.colour[rows][None, :]
-        for a, b in zip(*np.nonzero(np.triu(near, 1))):
-            i, j = int(rows[a]), int(rows[b])
-            found[min(i, j), max(i, j)] = float(d[a, b])
+        guest = points.guest[rows]
+        hosts = rows[~guest]
+        names, times = np.unique(points.colour[hosts], return_counts=True)
+        # hosts of the main colour need no test among themselves
+        asking = rows[guest] if len(names) == 1 else rows[guest | (points.colour[rows] != names[np.argmax(times)])]
+        for first in range(0, len(asking), 256):
+            some = asking[first : first + 256]
+            d = points.distances(some, hosts)
+            near = d <= points.radius[some][:, None] + points.radius[hosts][None, :] + reach + _EPS
+            near &= points.colour[some][:, None] != points.colour[hosts][None, :]
+            for a, b in zip(*np.nonzero(near)):
+                i, j = int(some[a]), int(hosts[b])
+                found[min(i, j), max(i, j)] = float(d[a, b])
 
     stack = [np.arange(len(points.size))]
     while stack:
         rows = stack.pop()
-        if len(rows) < 2 or (points.colour[rows] == points.colour[rows[0]]).all():
+        if len(rows) < 2 or points.guest[rows].all() or (points.colour[rows] == points.colour[rows[0]]).all():
             continue
         if len(rows) <= LEAF:
             leaf(rows)
@@ -109,7 +117,7 @@ def close_pairs(points: Points, reach: float = T, counts: dict | None = None) ->
 def _read_points(part: pa.Table) -> Points:
     lists = part["keys"].combine_chunks()
     values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    return Points([values[a:b] for a, b in zip(at[:-1], at[1:])], part["size"].to_numpy(), part["radius"].to_numpy(), part["colour"].to_numpy())
+    return Points([values[a:b] for a, b in zip(at[:-1], at[1:])], part["size"].to_numpy(), part["radius"].to_numpy(), part["colour"].to_numpy(), part["guest"].to_numpy(zero_copy_only=False))
 
 
 def _join_block(part: pa.Table) -> pa.Table:
@@ -127,7 +135,7 @@ def _measure(part: pa.Table) -> pa.Table:
     pivots = pivots[np.argsort(kind[pivots], kind="stable")]
     d = points.distances(pivots, rows).T
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, len(pivots)), pa.int32()), pa.array(d.reshape(-1)))
-    table = part.select(["region", "cell", "radius", "colour"]).take(pa.array(rows))
+    table = part.select(["region", "cell", "radius", "colour", "guest"]).take(pa.array(rows))
     return table.append_column("d", lists)
 
 
@@ -148,10 +156,10 @@ def _divide(rows: DataFrame, loads: DataFrame, sets: DataFrame, turn: int) -> tu
     pivots = materialize(pivots, "pivots")
     blocks = _blocked(rows, loads)
     every = loads.select("region", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("load") / BLOCK_KEYS)).cast("int") - 1)).alias("block"))
-    asked = pivots.join(every, "region").select("region", "block", "pivot", "cell", F.lit(0.0).alias("radius"), F.lit(0).cast("long").alias("colour"))
-    asked = blocks.select("region", "block", F.lit(-1).alias("pivot"), "cell", "radius", "colour").unionByName(asked)
+    asked = pivots.join(every, "region").select("region", "block", "pivot", "cell", F.lit(0.0).alias("radius"), F.lit(0).cast("long").alias("colour"), F.lit(False).alias("guest"))
+    asked = blocks.select("region", "block", F.lit(-1).alias("pivot"), "cell", "radius", "colour", "guest").unionByName(asked)
     asked = asked.join(sets.select(F.col("node").alias("cell"), "size", "keys"), "cell")
-    far = materialize(asked.groupBy("region", "block").applyInArrow(_measure, "region long, cell long, radius double, colour long, d array<double>"), "far")
+    far = materialize(asked.groupBy("region", "block").applyInArrow(_measure, "region long, cell long, radius double, colour long, guest boolean, d array<double>"), "far")
     far = far.join(loads.select("region", "n", "widest"), "region").join(rows.select("region", "cell", "load"), ["region", "cell"])
     near = F.array_min("d") + 2 * (F.col("radius") + F.col("widest") + T) + _EPS
     far = far.withColumn("cells", F.filter(F.transform("d", lambda x, k: F.when(x <= near, k)), lambda k: k.isNotNull()))
@@ -159,13 +167,13 @@ def _divide(rows: DataFrame, loads: DataFrame, sets: DataFrame, turn: int) -> tu
     cut = shares.groupBy("region").agg(F.sum("m").alias("replicas"), F.max("m").alias("most"), F.first("n").alias("n"))
     cut = materialize(cut.select("region", ((F.col("most") <= 0.8 * F.col("n")) & (F.col("replicas") <= 2 * F.col("n"))).alias("ok")), "cut")
     far = far.join(cut, "region")
-    parts = far.where("ok").select(F.xxhash64("region", F.explode("cells"), F.lit(turn)).alias("region"), "cell", "radius", "colour", "load")
-    return materialize(parts, "parts"), far.where("not ok").select("region", "cell", "radius", "colour", "load")
+    parts = far.where("ok").select(F.xxhash64("region", F.explode("cells"), F.lit(turn)).alias("region"), "cell", "radius", "colour", "guest", "load")
+    return materialize(parts, "parts"), far.where("not ok").select("region", "cell", "radius", "colour", "guest", "load")
 
 
 def close_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d) of the cells of one region and of different colours that come near;
-    ``rows`` has (region, cell, radius, colour, load)."""
+    """(a, b, d) of the cells of one region and of different colours, not both guests, that come near;
+    ``rows`` has (region, cell, radius, colour, guest, load)."""
     rows, blocky, turn = materialize(rows, "points"), None, 0
     while True:
         large = _loads(rows).where((F.col("n") > BLOCK) | (F.col("load") > BLOCK_KEYS))
@@ -183,8 +191,8 @@ def close_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
     if blocky is not None:
         blocks = _blocked(blocky, _loads(blocky))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pairs = blocks.select("region", "cell", "radius", "colour", "block", other.alias("other"))
-        pairs = pairs.select("region", "cell", "radius", "colour", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        pairs = blocks.select("region", "cell", "radius", "colour", "guest", "block", other.alias("other"))
+        pairs = pairs.select("region", "cell", "radius", "colour", "guest", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         found = found.unionByName(pairs.join(keyed, "cell").groupBy("region", "lo", "hi").applyInArrow(_join_block, schema))
     return found.distinct()
 
@@ -194,13 +202,13 @@ def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Colum
     each, every cell passes the lists of its region once, and sizes that are too far apart are left out."""
     rows = materialize(rows.withColumn("load", F.lit(0)).join(sets.select(F.col("node").alias("cell"), "size"), "cell"), "points")
     blocks = _blocked(rows, _loads(rows))
-    lists = blocks.groupBy("region", F.col("block").alias("other")).agg(F.collect_list(F.struct("cell", "radius", "colour", "size")).alias("m"))
+    lists = blocks.groupBy("region", F.col("block").alias("other")).agg(F.collect_list(F.struct("cell", "radius", "colour", "guest", "size")).alias("m"))
     mine = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
 
     def meets(y: Column) -> Column:
         reach = F.col("radius") + y["radius"] + T + _EPS
         apart = (F.col("block") < F.col("other")) | (F.col("cell") < y["cell"])
-        return apart & (F.col("colour") != y["colour"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
+        return apart & (F.col("colour") != y["colour"]) & ~(F.col("guest") & y["guest"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
 
     pairs = mine.join(lists, ["region", "other"]).select("cell", "radius", F.explode(F.filter("m", meets)).alias("y"))
     pairs = pairs.groupBy(F.least("cell", "y.cell").alias("a"), F.greatest("cell", "y.cell").alias("b")).agg(F.max(F.col("radius") + F.col("y.radius")).alias("reach"))
@@ -246,7 +254,7 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     place = _coloured(place.select("node", F.coalesce("cell", "node").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d")), links, native)
 
     # the regions as lists of cells; one of those that are alike
-    cells = members.select("region", "node").join(place, "node").groupBy("region", "cell").agg(F.first("colour").alias("colour"))
+    cells = members.select("region", "node").join(place, "node").groupBy("region", "cell").agg(F.first("colour").alias("colour"), F.lit(False).alias("guest"))
     sign = [F.bit_xor(F.xxhash64("cell", F.lit(k))).alias(f"s{k}") for k in range(2)]
     cells = materialize(cells, "cells")
     open_ = cells.groupBy("region").agg(F.count("*").alias("n"), F.min("colour").alias("lo"), F.max("colour").alias("hi"), *sign).where("lo <> hi")
@@ -260,30 +268,19 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     links = materialize(links.unionByName(more), "links")
     place = _coloured(place, links, native)
 
-    # members near the border of another component's cell, against its pivot
+    # the windows of the cells that are still apart
     side = place.groupBy("cell").agg(F.max("d").alias("r"), F.first("colour").alias("colour"))
-    both = close.where(~_linked(F.col("d"))).join(side.toDF("a", "ra", "ca"), "a").join(side.toDF("b", "rb", "cb"), "b")
-    both = both.where("ca <> cb and ra + rb > 0")
-    both = materialize(both.select("a", "b", "d", "ra", "rb").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", F.col("rb").alias("ra"), F.col("ra").alias("rb"))), "borders")
+    both = close.where(~_linked(F.col("d"))).join(side.toDF("a", "ra", "ca"), "a").join(side.toDF("b", "rb", "cb"), "b").where("ca <> cb and ra + rb > 0")
+    wide, thin = (f(F.struct(F.col("ra").alias("r"), F.col("a").alias("cell")), F.struct(F.col("rb").alias("r"), F.col("b").alias("cell"))) for f in (F.greatest, F.least))
+    both = materialize(both.select(wide.alias("host"), thin.alias("guest"), "d"), "borders")
     if both.isEmpty():
         return _result(place)
-    inner = place.where("node <> cell").select("node", F.col("cell").alias("a"), F.col("d").alias("own"))
-    border = both.join(inner, "a").where(F.col("own") + F.col("rb") + T + _EPS >= F.col("d")).select(F.col("node").alias("x"), "a", "b", "rb")
-    border = materialize(border, "border")
-    far = materialize(measured(border.select(F.col("x").alias("a"), "b").distinct(), sets, keys), "border-distances")
-    links = materialize(links.unionByName(far.where(_linked(F.col("d"))).select("a", "b")), "links")
-    place = _coloured(place, links, native)
-
-    # border members of two cells that are still apart, against each other
-    colour = place.select("node", "colour")
-    near = border.join(far.toDF("x", "b", "dx"), ["x", "b"]).where(F.col("dx") <= F.col("rb") + T + _EPS).join(colour.toDF("x", "cx"), "x").join(colour.toDF("b", "cb"), "b").where("cx <> cb")
-    region = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-    near = near.select(region.alias("region"), F.col("x").alias("cell"), F.lit(0.0).alias("radius"), F.col("cx").alias("colour")).distinct()
-    near = materialize(near, "border-members")
-    mixed = near.groupBy("region").agg(F.min("colour").alias("lo"), F.max("colour").alias("hi")).where("lo <> hi").select("region")
-    near = near.join(mixed, "region", "left_semi").join(sets.select(F.col("node").alias("cell"), load.alias("load")), "cell")
-    if near.isEmpty():
-        return _result(place)
+    slack = T + _EPS
+    own = both.groupBy(F.col("host.cell").alias("cell")).agg(F.min(F.col("d") - F.col("guest.r")).alias("from"))
+    own = place.join(own, "cell").where(F.col("d") + slack >= F.col("from")).select(F.col("cell").alias("region"), "node", "colour", F.lit(False).alias("guest"))
+    come = place.withColumnRenamed("d", "far").join(both.withColumn("cell", F.col("guest.cell")).drop("guest"), "cell").where(F.col("far") + F.col("host.r") + slack >= F.col("d"))
+    near = own.unionByName(come.select(F.col("host.cell").alias("region"), "node", "colour", F.lit(True).alias("guest")))
+    near = near.withColumnRenamed("node", "cell").withColumn("radius", F.lit(0.0)).join(sets.select(F.col("node").alias("cell"), load.alias("load")), "cell")
     links = materialize(links.unionByName(close_(near).where(_linked(F.col("d"))).select("a", "b")), "links")
     return _result(_coloured(place, links, native))
 
