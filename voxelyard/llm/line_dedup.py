@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .jaccard_join import MOST_KNOWN, settle
+from .jaccard_join import MOST_KNOWN
+from .voronoi import settle
 
 SPACES = " \t\x0b\x0c\r"
 LEAST_CHARS = 40
@@ -38,6 +39,8 @@ K = 5
 WIDE_CHARS, K_WIDE, FEW_STARTS = 8, 6, 12
 #: A line under LEAST_CHARS has at most LEAST_CHARS - WIDTH shingles, and a line 4/3 of them if alike.
 MOST_KEYS = 4 * (LEAST_CHARS - WIDTH) // 3
+#: Lines with few word starts that are longer are first counted over so many characters.
+HEAD = 64
 
 
 def _everywhere(line: Column, width: int) -> Column:
@@ -48,10 +51,14 @@ def _hashes(parts: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
 
 
+def _parts(line: Column) -> Column:
+    """Character shingles of a line; a shorter line is one shingle."""
+    return F.when(F.length(line) >= WIDTH, _everywhere(line, WIDTH)).otherwise(F.array(line))
+
+
 def _shingles(line: Column) -> Column:
-    """Distinct character shingles of a line, as hashes; a shorter line is one shingle."""
-    all_ = _everywhere(line, WIDTH)
-    return _hashes(F.when(F.size(all_) > 0, all_).otherwise(F.array(line)))
+    """Distinct character shingles of a line, as hashes."""
+    return _hashes(_parts(line))
 
 
 def _starts(line: Column) -> Column:
@@ -77,47 +84,45 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, line_no, node, signature, wide, keys), written once; node is null for blank lines."""
+    """(rid, doc_id, line_no, node, bands, keys), written once; node is null for blank lines."""
     line, starts, keys, few = F.col("line"), F.col("starts"), F.col("keys"), F.col("few")
     long_ = F.length("line") >= LEAST_CHARS
-    rows = _lines(docs, id_col, text_col).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", _starts(line))
-    rows = rows.withColumn("few", (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
+    rows = _lines(docs, id_col, text_col).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", F.when(long_, _starts(line)))
+    rows = rows.withColumn("few", ~long_ | (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
     # no line has fewer shingles than its beginning
-    head = F.size(F.array_distinct(_everywhere(F.substring("line", 1, 64), WIDTH))) <= MOST_KEYS
+    head = few & ((F.length("line") < HEAD) | (F.size(F.array_distinct(_everywhere(F.substring("line", 1, HEAD), WIDTH))) <= MOST_KEYS))
     rows = rows.withColumn("keys", F.when(F.col("node").isNotNull() & head, _shingles(line)))
     wide = F.when(few & long_, _least(_hashes(_everywhere(line, WIDE_CHARS)), K_WIDE))
-    return materialize(rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("signature"), wide.alias("wide"), F.when(F.size(keys) <= MOST_KEYS, keys).alias("keys")), "lines")
+    rows = rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("s"), wide.alias("w"), F.when(F.size(keys) <= MOST_KEYS, keys).alias("keys"))
+    wide_bands = F.transform(_pairs("w", K_WIDE), lambda h: F.xxhash64(F.lit("wide"), h))
+    bands = F.when(F.col("w").isNull(), _pairs("s", K)).otherwise(F.concat(_pairs("s", K), wide_bands))
+    return materialize(rows.select("rid", "doc_id", "line_no", "node", bands.alias("bands"), "keys"), "lines")
 
 
 def _prefixes(lines: DataFrame) -> DataFrame:
-    """(region, node, rest) of the lines with few shingles: their rarest shared shingles, as many as two
+    """(node, region) of the lines with few shingles: their rarest shared shingles, as many as two
     lines of similarity 3/4 need to meet in the rarest that they share."""
     sets = lines.where("keys is not null").groupBy("node").agg(F.first("keys").alias("keys"))
     postings = materialize(sets.select("node", F.size("keys").alias("size"), F.explode("keys").alias("key")), "short-postings")
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     sets = postings.join(shared, "key").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("m"))
     window = F.size("m") - F.ceil(3 * F.col("size") / 4).cast("int") + 1
-    rows = sets.where(window > 0).select("node", F.size("m").cast("long").alias("n"), F.posexplode(F.slice("m", F.lit(1), window)).alias("at", "x"))
-    return rows.select(F.xxhash64(F.lit("key"), F.col("x.key")).alias("region"), "node", (F.col("n") - F.col("at")).alias("rest"))
+    return sets.where(window > 0).select("node", F.explode(F.slice("m", F.lit(1), window)).alias("x")).select("node", F.xxhash64(F.lit("key"), F.col("x.key")).alias("region"))
 
 
 def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the lines that resemble another."""
-    signed = lines.where("signature is not null").groupBy("node").agg(F.first("signature").alias("s"), F.first("wide").alias("w"))
-    none = F.lit(None).cast("long")
-    bands = signed.select("node", F.explode(_pairs("s", K)).alias("region"), none.alias("rest"))
-    wide = signed.where("w is not null").select("node", F.explode(_pairs("w", K_WIDE)).alias("h")).select("node", F.xxhash64(F.lit("wide"), F.col("h")).alias("region"), none.alias("rest"))
-    bands = bands.unionByName(wide).unionByName(_prefixes(lines))
-    shared = materialize(bands.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "shared-bands")
+    prefixes = materialize(_prefixes(lines), "prefixes")
+    bands = lines.where("bands is not null").select("node", F.explode("bands").alias("region")).unionByName(prefixes)
+    shared = materialize(bands.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region"), "shared-bands")
     few = shared.count() <= MOST_KNOWN
-    members = materialize(bands.join(F.broadcast(shared) if few else shared, "region", "left_semi"), "banded")
-    nodes = materialize(members.select("node").distinct(), "candidates")
+    members = materialize(bands.join(F.broadcast(shared) if few else shared, "region", "left_semi").distinct(), "banded")
+    nodes = materialize(members.groupBy("node").agg(F.count("*").cast("double").alias("weight")), "candidates")
     few = nodes.count() <= MOST_KNOWN
-    texts = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    sets = texts.groupBy("node").agg(F.first("line").alias("keys")).withColumn("size", F.size(_shingles(F.col("keys"))).cast("long"))
+    texts = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(nodes) if few else nodes, "node")
+    sets = texts.groupBy("node").agg(F.first("line").alias("keys"), F.first("weight").alias("weight")).withColumn("size", F.size(F.array_distinct(_parts(F.col("keys")))).cast("long"))
     sets = materialize(sets, "candidate-lines")
-    members = members.join(sets.select("node", "size"), "node").withColumn("rest", F.coalesce("rest", "size")).withColumn("weight", F.lit(0.0))
-    return settle(materialize(members, "members"), sets, _shingles)
+    return settle(members.join(sets.select("node", "weight"), "node"), sets.select("node", "size", "keys"), _parts, native=True)
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,12 +216,13 @@ def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Colum
     return measured(pairs, sets, keys).join(pairs, ["a", "b"]).where(F.col("d") <= F.col("reach") + T + _EPS).select("a", "b", "d")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
-    """(a, b, d): the exact distances of pairs (a, b)."""
+def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column], most: float = 1.0) -> DataFrame:
+    """(a, b, d): the exact distances of pairs (a, b), but for pairs whose sizes show that it is over ``most``."""
     a = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("keys").alias("ka"))
     b = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("keys").alias("kb"))
     inter = F.size(F.array_intersect(keys(F.col("ka")), keys(F.col("kb"))))
-    out = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), inter.alias("inter"))
+    fits = F.least("na", "nb") >= (1 - most - _EPS) * F.greatest("na", "nb")
+    out = pairs.select("a", "b").join(a, "a").join(b, "b").where(fits).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), inter.alias("inter"))
     return out.select("a", "b", (1 - F.col("inter") / (F.col("n") - F.col("inter"))).alias("d"))
 
 
@@ -248,7 +249,7 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("region", "hub")
     members = materialize(members.join(hubs, "region"), "regions")
     first = members.where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-    stars = materialize(measured(first, sets, keys).where(_linked(F.col("d"))), "stars")
+    stars = materialize(measured(first, sets, keys, T).where(_linked(F.col("d"))), "stars")
     links = stars.select("a", "b")
     place = sets.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("cell"), "d"), "node", "left")
     place = _coloured(place.select("node", F.coalesce("cell", "node").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d")), links, native)
