@@ -7,8 +7,9 @@ hash is.  Pass two tests every row: only the possibly repeated rows shuffle (dig
 the text, when only decisions are asked for); all other rows pass straight through.
 
 The filter takes ``BITS_PER_ROW`` bits a row and never more than ``MOST_BITS``, which bounds the
-broadcast; a corpus beyond that only gets more false positives, and these cost shuffle, never a
-wrong answer, because the repeated rows are grouped by their whole SHA-256.
+broadcast and what a task holds (two packed arrays of that size); a corpus beyond that gets more
+false positives, and these cost shuffle, never a wrong answer, because the repeated rows are grouped
+by their whole SHA-256.
 
 Defined results: a null text counts as empty; a null id loses against any other; of repeated rows
 with the same id and text exactly one stays; an empty table gives an empty result; other columns
@@ -76,18 +77,25 @@ def repeat_filter(digests: DataFrame):
     size = min(bits, SEGMENT_BITS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(bits, bool)
-        again = np.zeros(bits, bool)
+        once, again = (np.zeros(bits // 8, np.uint8) for _ in range(2))
+
+        def put(cells: np.ndarray, into: np.ndarray) -> None:
+            """Sets sorted distinct cells."""
+            if len(cells):
+                at = cells >> 3
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                into[at[first]] |= np.bitwise_or.reduceat(np.uint8(128) >> (cells & 7).astype(np.uint8), first)
+
         for batch in batches:
             cells = _cells(batch.column(0).to_pylist(), bits).T
             for row in cells:  # a probe of its own each: one row does not repeat itself
-                once_now, n = np.unique(row, return_counts=True)
-                again[once_now[n > 1]] = True
-                again[once_now[once[once_now]]] = True
-                once[once_now] = True
-        for k in np.flatnonzero(once.reshape(-1, size).any(axis=1)).tolist():
-            part = slice(k * size, (k + 1) * size)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(once[part]).tobytes()], pa.binary()), pa.array([np.packbits(again[part]).tobytes()], pa.binary())], ["seg", "once", "again"])
+                now, n = np.unique(row, return_counts=True)
+                held = (once[now >> 3] >> (7 - (now & 7)).astype(np.uint8)) & 1
+                put(now[(n > 1) | (held == 1)], again)
+                put(now, once)
+        for k in np.flatnonzero(once.reshape(-1, size // 8).any(axis=1)).tolist():
+            part = slice(k * size // 8, (k + 1) * size // 8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once[part].tobytes()], pa.binary()), pa.array([again[part].tobytes()], pa.binary())], ["seg", "once", "again"])
 
     def fold(key: tuple, parts: pa.Table) -> pa.Table:
         once, again = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)

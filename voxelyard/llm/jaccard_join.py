@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +40,9 @@ from .voronoi import settle
 WIDTH = 5
 #: Postings that a task gathers before it writes them out.
 FLUSH = 2_000_000
-#: Bytes of input a posting bucket stands for; beyond ``MANY_BUCKETS`` of them, buckets and their
-#: size both grow with the square root of the input (40 MB at 100 TB).
-BUCKET_BYTES, MANY_BUCKETS = 4 << 20, 1 << 18
+#: Documents that a posting bucket stands for; beyond ``MANY_BUCKETS`` of them, buckets and their
+#: size both grow with the square root of the input (20,000 documents for 5 * 10^10).
+BUCKET_DOCS, MANY_BUCKETS = 2000, 1 << 18
 #: Equal texts known beforehand to every task, at most (16 bytes each); beyond it all copies travel
 #: and are united after the shuffle, with the same result.
 MOST_KNOWN = 4_000_000
@@ -254,8 +253,7 @@ def _survivors(part: pa.Table) -> pa.Table:
     order = np.lexsort((keys, df, docs_at))
     kept = np.where(keep, many, 0)
     weight = np.bincount(docs_at, weights=df, minlength=len(nodes)) / np.maximum(size, 1)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(keys[order]))
-    lists = pc.if_else(pa.array(keep), lists, pa.nulls(len(lists), lists.type))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(keys[order]), mask=pa.array(~keep))
     return pa.table({"node": pa.array(nodes), "size": pa.array(size), "weight": pa.array(weight), "keys": lists})
 
 
@@ -264,8 +262,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     rows = _inputs(docs, id_col, text_col)
     nodes, again, clashes = _named(rows, rows.schema["doc_id"].dataType.simpleString())
     known = _known_copies(again)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BUCKET_BYTES
-    buckets = max(16, size if size <= MANY_BUCKETS else int((size * MANY_BUCKETS) ** 0.5))
+    buckets = max(16, nodes.count() // BUCKET_DOCS)
+    if buckets > MANY_BUCKETS:
+        buckets = int((buckets * MANY_BUCKETS) ** 0.5)
     shared = _postings(rows, buckets, known, clashes).groupBy("bucket").applyInArrow(_shared, "src long, blob binary")
     found = materialize(shared.groupBy("src").applyInArrow(_survivors, "node long, size long, weight double, keys array<long>"), "sets")
     sizes = found.select("node", "size").dropDuplicates(["node"])

@@ -76,18 +76,18 @@ def _pairs(signature: str, k: int) -> Column:
     return F.when(F.size(s) > 1, pairs).otherwise(s)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, line_no, line) with the line's ends trimmed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text.alias("_t"))
+    rows = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("_t"))
     return rows.select("rid", "doc_id", F.posexplode(F.split("_t", "\n")).alias("line_no", "_l")).select("rid", "doc_id", "line_no", F.btrim("_l", F.lit(SPACES)).alias("line"))
 
 
-def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, line_no, node, bands, keys), written once; node is null for blank lines."""
     line, starts, keys, few = F.col("line"), F.col("starts"), F.col("keys"), F.col("few")
     long_ = F.length("line") >= LEAST_CHARS
-    rows = _lines(docs, id_col, text_col).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", F.when(long_, _starts(line)))
+    rows = _lines(docs, id_col, text_col, rid).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", F.when(long_, _starts(line)))
     rows = rows.withColumn("few", ~long_ | (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
     # no line has fewer shingles than its beginning
     head = few & ((F.length("line") < HEAD) | (F.size(F.array_distinct(_everywhere(F.substring("line", 1, HEAD), WIDTH))) <= MOST_KEYS))
@@ -125,9 +125,9 @@ def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
     return settle(members.join(sets.select("node", "weight"), "node"), sets.select("node", "size", "keys"), _parts, native=True)
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_lines, n_dropped, dropped (its line numbers from 0, joined)."""
-    lines = hashed_lines(docs, id_col, text_col)
+def _gone(docs: DataFrame, id_col: str, text_col: str, rid: Column | None = None) -> DataFrame:
+    """One row a document: rid, doc_id, n_lines, gone (its dropped lines' numbers, sorted)."""
+    lines = hashed_lines(docs, id_col, text_col, rid)
     comp = line_components(docs, lines, id_col, text_col)
     place = F.struct("doc_id", "rid", "line_no")
     least = lines.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -136,13 +136,24 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kept = materialize(nodes.select("node", "comp").join(first.select("comp", "first"), "comp").select("node", F.col("first.rid").alias("keep_rid"), F.col("first.line_no").alias("keep_line")), "kept")
     marked = lines.select("rid", "doc_id", "line_no", "node").join(kept, "node", "left")
     drop = F.coalesce((F.col("rid") != F.col("keep_rid")) | (F.col("line_no") != F.col("keep_line")), F.lit(False))
-    out = marked.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(drop, F.col("line_no")))).alias("gone"))
+    return marked.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(drop, F.col("line_no")))).alias("gone"))
+
+
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_lines, n_dropped, dropped (its line numbers from 0, joined)."""
+    out = _gone(docs, id_col, text_col)
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("dropped"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (ids must be unique) without the dropped lines, with all their columns."""
-    gone = mark(docs, id_col, text_col).where("n_dropped > 0").select(F.col("doc_id").alias(id_col), F.split("dropped", ",").alias("_gone"))
-    joined = docs.join(materialize(gone, "gone"), id_col, "left")
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i.cast("string"))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text_col))).select(*docs.columns)
+    """The documents without the dropped lines, with all their columns; rows are numbered and written
+    once, so ids may repeat or be null."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    c = dict(zip(docs.columns, names))
+    rows = materialize(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    gone = materialize(_gone(rows, c[id_col], c[text_col], F.col("rid")).where(F.size("gone") > 0).select("rid", "gone"), "gone")
+    lines = F.split(F.col(c[text_col]), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
+    joined = rows.join(gone, "rid", "left").withColumn(c[text_col], F.when(F.col("gone").isNotNull(), rest).otherwise(F.col(c[text_col])))
+    return joined.select(*names).toDF(*docs.columns)

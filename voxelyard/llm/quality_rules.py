@@ -1,14 +1,18 @@
 """Quality rules: fixed base rules, then robust multivariate outliers.
 
 Each document's statistics are computed in one pass inside its row, by DataFrame functions only.
-Transformed to a vector, they are held against a minimum-covariance-determinant estimate of the
-document's language and source: from a start at medians and absolute deviations, concentration
-steps take the ``H`` part of the group with the smallest Mahalanobis distances and estimate centre
-and covariance from it again.  Every step is two aggregations with map-side partials (the quantile
-is a mergeable sketch), so a group of a third of all rows is no more than one row a task.  The
-covariance has a floor a feature, distances are scaled to their expected median, and documents
-beyond ``CUTOFF`` are rejected.  Groups under ``LEAST_ROWS`` rows pool by language; a language
-under it gives no verdict and keeps its documents.
+Transformed to a vector, they are held against minimum-covariance-determinant estimates, one for
+each language and source, one for each language and one for all documents.  Every estimate has two
+deterministic starts: medians with absolute deviations, and mean with covariance.  Concentration
+steps take the ``H`` part with the smallest Mahalanobis distances and estimate centre and covariance
+from it again; of the two ends the one with the least determinant stays.  Every step is two
+aggregations with map-side partials (the quantile is a mergeable sketch) over all groups at once, so
+a group of a third of all rows is no more than one row a task.  The covariance has a floor a feature,
+distances are scaled to their expected median, and documents beyond ``CUTOFF`` are rejected.
+
+An estimate needs ``LEAST_ROWS`` documents that pass the base rules: a document is judged by its
+language and source, else by its language, else by all documents; where even these are fewer there
+is no estimate and the base rules alone decide.
 
 Defined results: a null text has no words (and fails the base rules); null language or source count
 as groups of their own; a null id is carried; repeated rows are judged once each and alike; an empty
@@ -26,8 +30,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
+#: Words up to which a window's hash and its position share one long (48 bits of hash and more).
+MANY_WORDS = 1 << 16
 H = 0.75
-STEPS = 4
+STEPS = 5
 LEAST_ROWS = 60
 #: Squared distance of rejection; the 1 - 1e-12 quantile of chi-square with as many degrees of freedom as features.
 CUTOFF = 65.0
@@ -54,11 +60,17 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("n_words", F.size("_w").cast("long")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     out = out.withColumn("_mask", F.expr("shiftleft(-1L, length(bin(n_words)))"))
     n = F.size("_w")
-    out = out.withColumn("_s", F.when(n >= 4, F.sort_array(_repeated(F.col("_w"), n))).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("_s", F.when(n.between(4, MANY_WORDS), F.sort_array(_repeated(F.col("_w"), n))).otherwise(F.array().cast("array<bigint>")))
     mask, s = F.col("_mask"), F.col("_s")
     top = lambda x: x.bitwiseAND(mask)
     again = F.filter(s, lambda x, k: F.coalesce(top(x) == top(F.get(s, k - 1)), F.lit(False)) | F.coalesce(top(x) == top(F.get(s, k + 1)), F.lit(False)))
-    out = out.withColumn("_at", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.bitwise_not(mask)))))
+    short = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.bitwise_not(mask))))
+    # too many words for one long: whole hashes beside the positions
+    w, same = F.col("_w"), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    whole = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i")))
+    out = out.withColumn("_z", F.when(n > MANY_WORDS, F.sort_array(whole)))
+    twice = F.filter("_z", lambda x, k: same(x, F.get("_z", k - 1)) | same(x, F.get("_z", k + 1)))
+    out = out.withColumn("_at", F.when(n > MANY_WORDS, F.sort_array(F.transform(twice, lambda x: x["i"]))).otherwise(short))
     at = F.col("_at")
     gap = F.transform(at, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(x - F.get(at, k - 1), F.lit(3).cast("long"))))
     repeat = F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -82,9 +94,11 @@ def _features() -> list[Column]:
 
 
 def with_features(stats: DataFrame, lang: str, source: str) -> DataFrame:
+    """Adds the vector x0.. and the keys of the estimates, the nearest first."""
     names = [f"x{k}" for k in range(P)]
-    group = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (lang, source)]
-    return stats.withColumns(dict(zip(names, _features()))).withColumn("_lang", group[0]).withColumn("_group", F.concat_ws("\1", *group))
+    group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (lang, source)]
+    keys = (F.concat_ws("\1", F.lit("source"), *group), F.concat_ws("\1", F.lit("language"), group[0]), F.lit("all"))
+    return stats.withColumns(dict(zip(names, _features()))).withColumns({f"_key{k}": key for k, key in enumerate(keys)})
 
 
 def _square(centre: str = "m", factor: str = "l") -> Column:
@@ -112,59 +126,77 @@ def _cholesky(est: DataFrame) -> DataFrame:
     return est
 
 
-def _with(rows: DataFrame, est: DataFrame, key: str, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(est) if few else est, key)
+def _with(rows: DataFrame, est: DataFrame, on: list[str], few: bool) -> DataFrame:
+    return rows.join(F.broadcast(est) if few else est, on)
 
 
-def estimates(features: DataFrame, key: str) -> DataFrame:
-    """One row a group: centre m, factor l, and the scale of its squared distances."""
-    rows = features.where("not base_failed").select(key, *[f"x{k}" for k in range(P)])
-    med = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{k}", 0.5, 1000).alias(f"m{k}") for k in range(P)]).where(F.col("n") >= LEAST_ROWS)
+def _moments(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Centre m and covariance c of the differences y to the old centre o."""
+    low = [(j, i) for j in range(P) for i in range(j + 1)]
+    sums = rows.groupBy(*on).agg(*[F.first(f"o{k}").alias(f"o{k}") for k in range(P)], *[F.avg(f"y{k}").alias(f"a{k}") for k in range(P)], *[F.avg(F.col(f"y{j}") * F.col(f"y{i}")).alias(f"p{j}{i}") for j, i in low])
+    return sums.select(*on, *[(F.col(f"o{k}") + F.col(f"a{k}")).alias(f"m{k}") for k in range(P)], *[(F.col(f"p{j}{i}") - F.col(f"a{j}") * F.col(f"a{i}")).alias(f"c{j}{i}") for j, i in low])
+
+
+def _differences(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"o{k}": F.col(f"m{k}") for k in range(P)} | {f"y{k}": F.col(f"x{k}") - F.col(f"m{k}") for k in range(P)})
+
+
+def estimates(features: DataFrame) -> DataFrame:
+    """One row a key: centre m, factor l, and the scale of its squared distances."""
+    rows = features.where("not base_failed").select(F.explode(F.array("_key0", "_key1", "_key2")).alias("key"), *[f"x{k}" for k in range(P)])
+    med = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{k}", 0.5, 1000).alias(f"m{k}") for k in range(P)]).where(F.col("n") >= LEAST_ROWS)
     med = materialize(med, "medians")
     few = med.count() <= MOST_BROADCAST
-    dev = _with(rows, med, key, few).groupBy(key).agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), 0.5, 1000).alias(f"d{k}") for k in range(P)])
-    est = dev.select(key, *[f"m{k}" for k in range(P)], *[(F.pow(1.4826 * F.col(f"d{j}"), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{j}{i}") for j in range(P) for i in range(j + 1)])
+    gaps = _differences(_with(rows, med, ["key"], few))
+    low = [(j, i) for j in range(P) for i in range(j + 1)]
+    dev = gaps.groupBy("key").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(P)], *[F.percentile_approx(F.abs(F.col(f"y{k}")), 0.5, 1000).alias(f"d{k}") for k in range(P)])
+    spread = dev.select("key", F.lit(0).alias("start"), *[f"m{k}" for k in range(P)], *[(F.pow(1.4826 * F.col(f"d{j}"), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{j}{i}") for j, i in low])
+    est = spread.unionByName(_moments(gaps, ["key"]).withColumn("start", F.lit(1)))
     for step in range(STEPS):
         est = materialize(_cholesky(est), f"step{step}")
-        near = _with(rows, est, key, few).withColumn("d2", _square())
-        limit = materialize(near.groupBy(key).agg(F.percentile_approx("d2", H, 1000).alias("limit")), f"limit{step}")
-        kept = _with(near, limit, key, few).where("d2 <= limit").withColumns({f"y{k}": F.col(f"x{k}") - F.col(f"m{k}") for k in range(P)})
-        sums = kept.groupBy(key).agg(*[F.first(f"m{k}").alias(f"o{k}") for k in range(P)], *[F.avg(f"y{k}").alias(f"a{k}") for k in range(P)], *[F.avg(F.col(f"y{j}") * F.col(f"y{i}")).alias(f"p{j}{i}") for j in range(P) for i in range(j + 1)])
-        est = sums.select(key, *[(F.col(f"o{k}") + F.col(f"a{k}")).alias(f"m{k}") for k in range(P)], *[(F.col(f"p{j}{i}") - F.col(f"a{j}") * F.col(f"a{i}")).alias(f"c{j}{i}") for j in range(P) for i in range(j + 1)])
-    est = materialize(_cholesky(est), "mcd")
-    scale = _with(rows, est, key, few).groupBy(key).agg(F.percentile_approx(_square(), 0.5, 1000).alias("half"))
-    drop = [f"c{j}{i}" for j in range(P) for i in range(j + 1)]
-    return materialize(est.join(scale, key).withColumn("scale", MEDIAN / F.greatest("half", F.lit(MEDIAN))).drop("half", *drop), "estimates")
-
-
-def _verdict(features: DataFrame, own: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Adds kept, by the document's group or else its language."""
-    few = own.count() <= MOST_BROADCAST and pooled.count() <= MOST_BROADCAST
-    for est, key, name in ((own, "_group", "_far"), (pooled, "_lang", "_far2")):
-        est = est.toDF(*[c if c == key else f"_{c}" for c in est.columns])
-        far = (_square("_m", "_l") * F.col("_scale")).alias(name)
-        features = features.join(F.broadcast(est) if few else est, key, "left").select(*features.columns, far)
-    return features.withColumn("kept", ~F.col("base_failed") & (F.coalesce("_far", "_far2", F.lit(0.0)) <= CUTOFF))
-
-
-def _estimated(docs: DataFrame, id_col: str, text_col: str, lang: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        near = _with(rows, est, ["key"], few).withColumn("d2", _square())
+        limit = materialize(near.groupBy("key", "start").agg(F.percentile_approx("d2", H, 1000).alias("limit")), f"limit{step}")
+        est = _moments(_differences(_with(near, limit, ["key", "start"], few).where("d2 <= limit")), ["key", "start"])
+    # the start whose end has the least determinant
+    root = F.lit(0.0)
+    for k in range(P):
+        root = root + F.log(f"l{k}{k}")
+    est = _cholesky(est)
+    names = [c for c in est.columns if c[0] in "ml"]
+    est = est.groupBy("key").agg(F.min_by(F.struct(*names), F.struct(root.alias("log"), "start")).alias("e")).select("key", "e.*")
+    est = materialize(est, "mcd")
+    scale = _with(rows, est, ["key"], few).groupBy("key").agg(F.percentile_approx(_square(), 0.5, 1000).alias("half"))
+    return materialize(est.join(scale, "key").withColumn("scale", MEDIAN / F.greatest("half", F.lit(MEDIAN))).drop("half"), "estimates")
+
+
+def _verdict(features: DataFrame, est: DataFrame) -> DataFrame:
+    """Adds kept, by the first of the document's keys that has an estimate."""
+    few = est.count() <= MOST_BROADCAST
+    for k in range(3):
+        own = est.toDF(*[f"_key{k}" if c == "key" else f"_{c}" for c in est.columns])
+        far = (_square("_m", "_l") * F.col("_scale")).alias(f"_far{k}")
+        features = features.join(F.broadcast(own) if few else own, f"_key{k}", "left").select(*features.columns, far)
+    return features.withColumn("kept", ~F.col("base_failed") & (F.coalesce("_far0", "_far1", "_far2", F.lit(0.0)) <= CUTOFF))
+
+
+def _estimated(docs: DataFrame, id_col: str, text_col: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")]
     stats = materialize(with_statistics(docs.select(*columns)).drop("text"), "statistics")
     rows = with_features(stats, "lang", "source")
-    return rows, estimates(rows, "_group"), estimates(rows, "_lang")
+    return rows, estimates(rows)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    rows, own, pooled = _estimated(docs, id_col, text_col, lang, source)
-    return _verdict(rows, own, pooled).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows, est = _estimated(docs, id_col, text_col, lang, source)
+    return _verdict(rows, est).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns; texts never shuffle, since the statistics
     are computed again in their rows and only the groups' estimates move."""
-    _, own, pooled = _estimated(docs, id_col, text_col, lang, source)
+    _, est = _estimated(docs, id_col, text_col, lang, source)
     names = [f"_c{k}" for k in range(len(docs.columns))]
     c = dict(zip(docs.columns, names))
     rows = with_features(with_statistics(docs.toDF(*names), c[text_col]), c[lang], c[source])
-    return _verdict(rows, own, pooled).where("kept").select(*names).toDF(*docs.columns)
+    return _verdict(rows, est).where("kept").select(*names).toDF(*docs.columns)

@@ -1,16 +1,20 @@
 """Sharding by histogram sort, under the law of near-equal bytes.
 
-Every row gets a 64-bit key: the upper half hashes its text, the lower half its id, so equal texts
-lie side by side in key order and yet one huge group of them can be cut.  The driver holds, for
+Every row gets a 64-bit key: the upper half hashes its text, the lower half its id and its number
+in the task that reads it, so equal texts lie side by side in key order and yet one huge group of
+them, or of equal rows, can be cut.  The driver holds, for
 each boundary between bins, an interval of keys; in every round all tasks count the exact bytes and
 rows below a grid of candidate keys (map-side, so a round moves bins x tasks numbers), and the
 interval shrinks to the cell that holds the target, until the boundary is within tolerance.  Then
 rows are exchanged once, and the slot in a shard follows from the counts of the bins before it.
 
-Bins are finer than shards (``BIN_ROWS`` rows at most on average), so no task ever gathers a shard.
+Bins are finer than shards (``BIN_ROWS`` rows on average), so no task gathers a shard; there are at
+most ``MOST_BINS``, which bounds the counts that the driver sees in a round (at 10^11 rows a bin is
+some 40 million rows of 40 bytes, which a task sorts on disk).
 
-Defined results: a null text has no bytes and a CRC of 0; a null id hashes as its own key; repeated
-rows are placed once each, in any order among themselves; an empty table gives no rows.
+Defined results: a null text has no bytes and a CRC of 0; null ids and repeated rows are placed once
+each like any others, in any order among themselves; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ ROW_OVERHEAD = 8
 #: Part of a shard's bytes by which a boundary may miss its target.
 TOLERANCE = 0.0005
 GRID = 64
-BIN_ROWS = 500_000
+BIN_ROWS, MOST_BINS = 500_000, 2400
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, key) of every row, written once."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.shiftleft(F.xxhash64(text), 32).bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    key = F.shiftleft(F.xxhash64(text), 32).bitwiseOR(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFFFFFF)))
     out = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), key.alias("key"))
     return materialize(out, "shard-keys")
 
@@ -87,7 +91,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     keys = keyed(docs, id_col, text_col)
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n"), F.coalesce(F.max("size"), F.lit(0)).alias("m")).first()
-    fine = max(4, -(-total.n // (shards * BIN_ROWS)))
+    fine = max(4, min(MOST_BINS // shards, -(-total.n // (shards * BIN_ROWS))))
     cuts, before = splitters(keys, shards * fine, fine, total.b, total.m) if total.n else ([], [])
     bounds, rows = np.array(cuts, np.int64), np.array([0, *before], np.int64)
     first = rows - rows[np.arange(len(rows)) // fine * fine]  # rows of the same shard in earlier bins

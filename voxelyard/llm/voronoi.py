@@ -27,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -38,10 +38,12 @@ T = 0.25
 #: Cells, and keys, that one task joins at once.
 BLOCK, BLOCK_KEYS = 4096, 1 << 20
 #: Members that a recursion measures against each other without further pivots, and pivots it takes.
-LEAF, PIVOTS = 32, 8
+LEAF, PIVOTS = 32, 16
 #: Pivots of a region that is cut as a table.
 CUTS = 32
 _EPS = 1e-12
+#: So that sets without a common key, at distance 1, lie in no cell of each other.
+_STRICT = 1e-9
 
 
 class Points:
@@ -73,7 +75,6 @@ def close_pairs(points: Points, reach: float = T, counts: dict | None = None) ->
     """(i, j, distance), i < j, of all points of different colours whose distance is at most the sum of
     their radii and ``reach``; ``counts`` counts the regions that were cut."""
     found: dict[tuple[int, int], float] = {}
-    turn = 0
 
     def leaf(rows: np.ndarray) -> None:
         guest = points.guest[rows]
@@ -98,13 +99,16 @@ def close_pairs(points: Points, reach: float = T, counts: dict | None = None) ->
         if len(rows) <= LEAF:
             leaf(rows)
             continue
-        turn += 1
-        pivots = rows[np.random.default_rng(turn).choice(len(rows), PIVOTS, replace=False)]
-        d = points.distances(pivots, rows)
-        # y in the cell of p and x beyond it: d(x, p) <= d(x, nearest) + 2 d(x, y)
-        window = 2 * (points.radius[rows] + points.radius[rows].max() + reach) + _EPS
-        inside = d <= d.min(axis=0) + window
-        parts = [rows[m] for m in inside if m.any()]
+        window = points.radius[rows] + points.radius[rows].max() + reach + _EPS
+        limit = 1 - window.max() - _STRICT
+        d = points.distances(rows[:1], rows)
+        while len(d) < PIVOTS and d.min(axis=0).max() >= limit:  # the next pivot is the farthest from all
+            d = np.vstack([d, points.distances(rows[[int(np.argmax(d.min(axis=0)))]], rows)])
+        # y within the limit, in the cell of p, and x beyond it: d(x, p) <= d(x, nearest) + 2 d(x, y),
+        # and d(x, p) <= limit + d(x, y); whatever is farther from all pivots than the limit is a cell too
+        nearest = d.min(axis=0)
+        inside = (d <= nearest + 2 * window) & (d < limit + window)
+        parts = [rows[m] for m in [*inside, nearest >= limit - window] if m.any()]
         if max(map(len, parts)) > 0.8 * len(rows) or sum(map(len, parts)) > 2 * len(rows):
             leaf(rows)
         else:
@@ -153,6 +157,7 @@ def _divide(rows: DataFrame, loads: DataFrame, sets: DataFrame, turn: int) -> tu
     """Regions beyond a block, cut into Voronoi cells with their windows; and those that no pivot cuts."""
     slot = F.pmod(F.xxhash64("cell", F.lit(turn)), F.lit(CUTS)).cast("int")
     pivots = rows.groupBy("region", slot.alias("pivot")).agg(F.min(F.struct(F.xxhash64("cell", F.lit(turn + 1)).alias("h"), "cell")).alias("p")).select("region", "pivot", F.col("p.cell").alias("cell"))
+    pivots = pivots.withColumn("pivot", F.row_number().over(Window.partitionBy("region").orderBy("pivot")) - 1)
     pivots = materialize(pivots, "pivots")
     blocks = _blocked(rows, loads)
     every = loads.select("region", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("load") / BLOCK_KEYS)).cast("int") - 1)).alias("block"))
@@ -161,14 +166,21 @@ def _divide(rows: DataFrame, loads: DataFrame, sets: DataFrame, turn: int) -> tu
     asked = asked.join(sets.select(F.col("node").alias("cell"), "size", "keys"), "cell")
     far = materialize(asked.groupBy("region", "block").applyInArrow(_measure, "region long, cell long, radius double, colour long, guest boolean, d array<double>"), "far")
     far = far.join(loads.select("region", "n", "widest"), "region").join(rows.select("region", "cell", "load"), ["region", "cell"])
-    near = F.array_min("d") + 2 * (F.col("radius") + F.col("widest") + T) + _EPS
-    far = far.withColumn("cells", F.filter(F.transform("d", lambda x, k: F.when(x <= near, k)), lambda k: k.isNotNull()))
+    # pivots near an earlier one are left out; then the windows of close_pairs
+    limit = 1 - (2 * F.col("widest") + T + _EPS) - _STRICT
+    first = far.join(pivots, ["region", "cell"]).where(F.forall(F.slice("d", F.lit(1), F.col("pivot")), lambda x: x >= limit))
+    far = far.join(first.groupBy("region").agg(F.collect_set("pivot").alias("ks")), "region")
+    far = far.withColumn("d", F.transform("d", lambda x, k: F.when(F.array_contains("ks", k), x))).drop("ks")
+    window, nearest = F.col("radius") + F.col("widest") + T + _EPS, F.array_min("d")
+    cells = F.filter(F.transform("d", lambda x, k: F.when((x <= nearest + 2 * window) & (x < limit + window), k)), lambda k: k.isNotNull())
+    far = far.withColumn("cells", F.when(nearest >= limit - window, F.array_append(cells, F.lit(-1))).otherwise(cells))
     shares = far.select("region", "n", F.explode("cells").alias("k")).groupBy("region", "k").agg(F.first("n").alias("n"), F.count("*").alias("m"))
     cut = shares.groupBy("region").agg(F.sum("m").alias("replicas"), F.max("m").alias("most"), F.first("n").alias("n"))
     cut = materialize(cut.select("region", ((F.col("most") <= 0.8 * F.col("n")) & (F.col("replicas") <= 2 * F.col("n"))).alias("ok")), "cut")
     far = far.join(cut, "region")
-    parts = far.where("ok").select(F.xxhash64("region", F.explode("cells"), F.lit(turn)).alias("region"), "cell", "radius", "colour", "guest", "load")
-    return materialize(parts, "parts"), far.where("not ok").select("region", "cell", "radius", "colour", "guest", "load")
+    names = ["cell", "radius", "colour", "guest", "load"]
+    parts = far.where("ok").select("region", F.explode("cells").alias("k"), *names).select(F.xxhash64("region", "k", F.lit(turn)).alias("region"), *names)
+    return materialize(parts, "parts"), far.where("not ok").select("region", *names)
 
 
 def close_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
