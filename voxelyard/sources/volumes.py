@@ -150,10 +150,15 @@ def write_volume(volume: Volume, path: str, dtype: str = "uint32", overwrite: bo
 
 
 def write_npz(volume: Volume, path: str, key: str = "volume", dtype: str = "uint32") -> None:
+    """One array of a deflated archive, a z-slice at a time; slices without voxels are zero."""
+    code = np.dtype(dtype).newbyteorder("<").str
+    blank, at = np.zeros((volume.height, volume.width), code).tobytes(), 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{key}.npy", "w", force_zip64=True) as f:
         f.write(formats.header(".npy", volume.dims, dtype))
-        for row in slab_bytes(volume, np.dtype(dtype).newbyteorder("<").str).orderBy("slab").toLocalIterator():
-            f.write(row.data)
+        for row in slab_bytes(volume, code).orderBy("slab").toLocalIterator():
+            f.write(blank * (row.slab - at) + row.data)
+            at = row.slab + 1
+        f.write(blank * (volume.depth - at))
 
 
 def with_chunk(volume: Volume, size: tuple[int, int, int]) -> DataFrame:
