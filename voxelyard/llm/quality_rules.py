@@ -97,7 +97,7 @@ def with_features(stats: DataFrame, lang: str, source: str) -> DataFrame:
     """Adds the vector x0.. and the keys of the estimates, the nearest first."""
     names = [f"x{k}" for k in range(P)]
     group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (lang, source)]
-    keys = (F.concat_ws("\1", F.lit("source"), *group), F.concat_ws("\1", F.lit("language"), group[0]), F.lit("all"))
+    keys = (F.concat_ws("\1", F.lit("source"), *group), F.concat_ws("\1", F.lit("language"), group[0]), F.when(F.col("n_words") >= 0, F.lit("all")))
     return stats.withColumns(dict(zip(names, _features()))).withColumns({f"_key{k}": key for k, key in enumerate(keys)})
 
 
