@@ -7,7 +7,8 @@ K values is a band, so lines of similarity 3/4 meet in one with a probability of
 also have the ``K_WIDE`` least hashes of the shingles at all their characters, in pairs as well.
 Lines of at most ``MOST_KEYS`` character shingles, which are all that a line under ``LEAST_CHARS``
 can resemble, meet without loss: in the regions of their rarest shared shingles, as documents do in
-the Jaccard join.
+the Jaccard join (of lines of ``HEAD`` characters or more, those with few word starts; a line with
+many word starts and so few distinct shingles is left to its bands).
 Lines that meet are verified by the exact Jaccard similarity of all their character shingles, and
 regions and components are settled as in the Jaccard join: by central pivots, cross-component pairs
 and distributed union-find.  Of each component, and of each group of equal lines, the occurrence
@@ -90,7 +91,7 @@ def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _lines(docs, id_col, text_col, rid).withColumn("node", F.when(line != "", F.xxhash64("line"))).withColumn("starts", F.when(long_, _starts(line)))
     rows = rows.withColumn("few", ~long_ | (F.size(starts) < FEW_STARTS) | (START_CHARS * F.size(starts) < F.length("line")))
     # no line has fewer shingles than its beginning
-    head = few & ((F.length("line") < HEAD) | (F.size(F.array_distinct(_everywhere(F.substring("line", 1, HEAD), WIDTH))) <= MOST_KEYS))
+    head = (F.length("line") < HEAD) | (few & (F.size(F.array_distinct(_everywhere(F.substring("line", 1, HEAD), WIDTH))) <= MOST_KEYS))
     rows = rows.withColumn("keys", F.when(F.col("node").isNotNull() & head, _shingles(line)))
     wide = F.when(few & long_, _least(_hashes(_everywhere(line, WIDE_CHARS)), K_WIDE))
     rows = rows.select("rid", "doc_id", "line_no", "node", F.when(long_, _least(starts, K)).alias("s"), wide.alias("w"), F.when(F.size(keys) <= MOST_KEYS, keys).alias("keys"))
