@@ -18,7 +18,9 @@ from ..volume import AXES, Volume
 from . import ops as O
 from . import packing as P
 
-MODES = ("nibble", "random", "rans", "rans2", "wavelet", "huffman")
+MODES = ("nibble", "random", "rans", "rans2", "wavelet", "huffman", "stopped")
+#: Modes that store every node's operation, and of these the ones that store it in bit vectors.
+COMPLETE, SUCCINCT = ("random", "wavelet", "huffman", "stopped"), ("wavelet", "huffman", "stopped")
 SCHEMA = "brick_idx long, bx int, by int, bz int, n_ops int, starts array<int>, ops binary, detail binary, palette array<long>, mask binary"
 
 
@@ -56,8 +58,9 @@ def _counts(bricks: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
 
 def encode(volume: Volume, side: int, mode: str = "nibble", mask: str = "o", tables: np.ndarray | None = None) -> DataFrame:
     """One row a brick.  Range-ANS modes take their 2 x 16 symbol counts from ``tables``
-    (``symbol_counts``); the finest level's operations lie in ``detail``, and ``mask`` is set where
-    voxels of the volume are absent."""
+    (``symbol_counts``); the finest level's operations lie in ``detail`` (but for the modes of bit
+    vectors, whose ``ops`` hold those of all levels), and ``mask`` is set where voxels of the volume
+    are absent."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if side > 64 or side & (side - 1):
@@ -74,7 +77,7 @@ def encode(volume: Volume, side: int, mode: str = "nibble", mask: str = "o", tab
         at = [part[a].to_numpy() - b * side for a, b in zip(AXES, (bx, by, bz))]
         cells = np.full(side**3, -1, np.int64)
         cells[O.z_index(side)[at[0], at[1], at[2]]] = part["label"].to_numpy()
-        if mode in ("random", "wavelet", "huffman"):
+        if mode in COMPLETE:
             nibbles, starts, palette = O.encode_all(cells)
         else:
             nibbles, starts, palette = O.encode(cells, allowed, short)
@@ -82,6 +85,8 @@ def encode(volume: Volume, side: int, mode: str = "nibble", mask: str = "o", tab
         halves = nibbles[:split], nibbles[split:]
         if coders:
             packed = [P.RangeANS(c).encode(h) if len(h) else b"" for c, h in zip(coders, halves)]
+        elif mode in SUCCINCT:
+            packed = [_succinct(nibbles, starts, mode).to_bytes(), b""]
         else:
             packed = [P.pack_nibbles(h).astype(">u4").tobytes() for h in halves]
         full = _valid(side, (bx * side, by * side, bz * side), volume_dims)
@@ -94,6 +99,19 @@ def encode(volume: Volume, side: int, mode: str = "nibble", mask: str = "o", tab
     return cut.groupBy("brick_idx", "bx", "by", "bz").applyInArrow(run, SCHEMA)
 
 
+def _succinct(nibbles: np.ndarray, starts, mode: str):
+    if mode == "stopped":
+        return P.StoppedStream(nibbles, starts, O.constant_below(nibbles, starts))
+    return (P.WaveletMatrix if mode == "wavelet" else P.HuffmanWaveletMatrix)(nibbles)
+
+
+def _stored(row: dict, mode: str):
+    """The structure that a row of a bit-vector mode holds."""
+    if mode == "stopped":
+        return P.StoppedStream.from_bytes(row["ops"], row["starts"])
+    return (P.WaveletMatrix if mode == "wavelet" else P.HuffmanWaveletMatrix).from_bytes(row["ops"])
+
+
 def unpack(ops: bytes, detail: bytes, starts: list[int], n: int, coders=None) -> np.ndarray:
     """The brick's nibbles in order."""
     split = _detail_start(starts)
@@ -143,10 +161,10 @@ def decode(bricks: DataFrame, dims: tuple[int, int, int], side: int, mode: str =
             for r in batch.to_pylist():
                 valid = _inside(r, side, dims)
                 palette = r["palette"][::-1]
-                stream = unpack(r["ops"], r["detail"], r["starts"], r["n_ops"], coders)
-                if mode in ("random", "wavelet", "huffman"):
+                stream = _stored(r, mode).symbols() if mode in SUCCINCT else unpack(r["ops"], r["detail"], r["starts"], r["n_ops"], coders)
+                if mode in COMPLETE:
                     seen = valid.reshape(nodes**3, -1).any(1)
-                    labels = np.where(seen, _read_level(stream, r["starts"], palette, mode, depth), -1)
+                    labels = np.where(seen, O.read_level(stream, r["starts"], palette, depth), -1)
                 else:
                     labels = O.decode(stream, palette, side, valid, short, depth)
                 keep = labels >= 0
@@ -156,19 +174,14 @@ def decode(bricks: DataFrame, dims: tuple[int, int, int], side: int, mode: str =
     return _brick_rows(bricks).mapInArrow(run, "x int, y int, z int, label long")
 
 
-def _reader(stream: np.ndarray, mode: str):
+def _reader(row: dict, mode: str):
     """(symbol, rank of palette pushes) of a complete stream under one of the random-access modes."""
-    if mode == "random":
-        ranks = np.concatenate([[0], np.cumsum(stream == O.PALETTE_ADV)])
-        return lambda k: int(stream[k]), lambda k: int(ranks[k])
-    matrix = (P.WaveletMatrix if mode == "wavelet" else P.HuffmanWaveletMatrix)(stream)
-    return matrix.access, lambda k: matrix.rank(O.PALETTE_ADV, k)
-
-
-def _read_level(stream: np.ndarray, starts, palette: list[int], mode: str, depth: int) -> np.ndarray:
-    symbol, rank = _reader(stream, mode)
-    side = 1 << len(starts) - 1
-    return np.array([O.read_voxel(symbol, rank, starts, palette, side, i, depth) for i in range(1 << 3 * depth)], np.int64)
+    if mode in SUCCINCT:
+        matrix = _stored(row, mode)
+        return matrix.access, lambda k: matrix.rank(O.PALETTE_ADV, k)
+    stream = unpack(row["ops"], row["detail"], row["starts"], row["n_ops"])
+    ranks = np.concatenate([[0], np.cumsum(stream == O.PALETTE_ADV)])
+    return lambda k: int(stream[k]), lambda k: int(ranks[k])
 
 
 def read_voxels(bricks: DataFrame, wanted: DataFrame, dims: tuple[int, int, int], side: int, mode: str = "random") -> DataFrame:
@@ -181,7 +194,7 @@ def read_voxels(bricks: DataFrame, wanted: DataFrame, dims: tuple[int, int, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                symbol, rank = _reader(unpack(r["ops"], r["detail"], r["starts"], r["n_ops"]), mode)
+                symbol, rank = _reader(r, mode)
                 palette, index, depth = r["palette"][::-1], O.z_index(side), len(r["starts"]) - 1
                 points = [(p["x"], p["y"], p["z"]) for p in r["points"]]
                 labels = [O.read_voxel(symbol, rank, r["starts"], palette, side, int(index[x % side, y % side, z % side]), depth) for x, y, z in points]
@@ -240,7 +253,48 @@ def merge_chunks(chunks: list[tuple[DataFrame, tuple[int, int, int]]], dims: tup
     return out
 
 
-def with_palette_bits(bricks: DataFrame) -> DataFrame:
-    """Bits of a packed palette index and how many fit a 32-bit word."""
-    bits = F.greatest(F.ceil(F.log2(F.size("palette") + 1)), F.lit(1)).cast("int")
-    return bricks.withColumn("index_bits", bits).withColumn("per_word", F.floor(32 / F.col("index_bits")).cast("int"))
+ENTRY = "brick_idx long, bx int, by int, bz int, index_bits int, words binary, palette array<long>"
+
+
+def cache_entries(volume: Volume, side: int) -> DataFrame:
+    """One row a brick as the palettised cache holds it: 32-bit words of as many palette indices as
+    fit, in Z order, counted from the palette's end; 0 is no voxel."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        palette, at = np.unique(part["label"].to_numpy(), return_inverse=True)
+        bits = max(1, len(palette).bit_length())
+        per = 32 // bits
+        index = np.zeros(-(-(side**3) // per) * per, np.uint32)
+        x, y, z = (part[a].to_numpy() % side for a in AXES)
+        index[O.z_index(side)[x, y, z]] = len(palette) - at
+        words = np.bitwise_or.reduce(index.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint32)), axis=1)
+        row = [[k.as_py()] for k in key] + [[bits], [words.astype("<u4").tobytes()], [palette.tolist()]]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table({n.split(" ")[0]: pa.array(v, k) for n, v, k in zip(ENTRY.split(", "), row, kinds)})
+
+    cut = volume.with_brick(side).df.select("brick_idx", "bx", "by", "bz", *AXES, "label")
+    return cut.groupBy("brick_idx", "bx", "by", "bz").applyInArrow(run, ENTRY)
+
+
+def read_entries(entries: DataFrame, side: int) -> DataFrame:
+    """(x, y, z, label) of palettised cache rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                bits, palette = r["index_bits"], np.array(r["palette"], np.int64)
+                shifts = bits * np.arange(32 // bits, dtype=np.uint32)
+                index = (np.frombuffer(r["words"], "<u4")[:, None] >> shifts & np.uint32((1 << bits) - 1)).reshape(-1)[: side**3].astype(np.int64)
+                keep = np.flatnonzero(index)
+                at = O.z_order(side)[keep] + np.array([r["bx"], r["by"], r["bz"]]) * side
+                yield pa.RecordBatch.from_arrays([*(pa.array(at[:, a].astype(np.int32)) for a in range(3)), pa.array(palette[len(palette) - index[keep]])], [*AXES, "label"])
+
+    return entries.select(*[c.split(" ")[0] for c in ENTRY.split(", ")]).mapInArrow(run, "x int, y int, z int, label long")
+
+
+def entry_sizes(volume: Volume, side: int) -> DataFrame:
+    """(brick_idx, entries, index_bits, bytes) of palettised cache rows, without packing them."""
+    palettes = volume.with_brick(side).df.groupBy("brick_idx").agg(F.count_distinct("label").alias("entries"))
+    bits = F.length(F.bin("entries"))
+    words = F.ceil(F.lit(side**3) / F.floor(F.lit(32) / bits))
+    return palettes.select("brick_idx", "entries", bits.cast("int").alias("index_bits"), (4 * words + 8 * F.col("entries")).cast("long").alias("bytes"))

@@ -270,3 +270,33 @@ def read_voxel(symbol, adv_rank, starts: np.ndarray, palette: list[int], side: i
             inv_lod -= up
         else:
             return palette[adv_rank(k) - (op == PALETTE_LAST)]
+
+
+def read_level(stream: np.ndarray, starts, palette: list[int], inv_lod: int) -> np.ndarray:
+    """Labels of a whole level of a complete stream: every node points to the one it copies, and the
+    pointers are doubled until all end at palette entries."""
+    to = np.arange(int(starts[inv_lod]) + 8**inv_lod)
+    for level in range(1, inv_lod + 1):
+        up, first = int(starts[level - 1]), int(starts[level])
+        code = stream[first : first + 8**level]
+        copies = np.flatnonzero(code == PARENT)
+        to[first + copies] = up + (copies >> 3)
+        copies = np.flatnonzero((code != PARENT) & (code <= NEIGHBOR_Z))
+        at, above = (t[copies, code[copies] - 1] for t in neighbour_table(1 << level))
+        to[first + copies] = np.where(above, up, first) + at
+    while (to[to] != to).any():
+        to = to[to]
+    ops = stream[: len(to)]
+    pushed = np.cumsum(ops == PALETTE_ADV)
+    ends = to[int(starts[inv_lod]) :]
+    return np.asarray(palette, np.int64)[pushed[ends] - 1]
+
+
+def constant_below(stream: np.ndarray, starts) -> np.ndarray:
+    """For every node of a complete stream, 1 if all operations below it copy their parents."""
+    stop = np.ones(len(stream), np.uint8)
+    ends = [*[int(s) for s in starts[1:]], len(stream)]
+    for level in range(len(starts) - 2, -1, -1):
+        a, b, c = int(starts[level]), ends[level], ends[level + 1]
+        stop[a:b] = ((stream[b:c] == PARENT) & (stop[b:c] == 1)).reshape(-1, 8).all(1)
+    return stop

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 
@@ -25,16 +27,18 @@ LOW = 1 << 23
 
 
 def normalized(counts: np.ndarray, total: int = 1 << SCALE_BITS) -> np.ndarray:
-    """Frequencies that sum to ``total``; every counted symbol keeps at least 1, taken from the
-    smallest that can spare it."""
-    counts = np.asarray(counts, np.int64)
-    counts = np.where(counts > 0, np.maximum(counts // (int(counts.sum()) // (1 << 30) + 1), 1), 0)
-    edge = np.concatenate([[0], np.cumsum(counts)]) * total // max(1, int(counts.sum()))
-    out = np.diff(edge)
-    for s in np.flatnonzero((counts > 0) & (out == 0)):
-        donor = min((f, k) for k, f in enumerate(out) if f > 1)[1]
-        out[donor] -= 1
-        out[s] += 1
+    """Frequencies that sum to ``total``: one for every counted symbol, and the rest by largest remainders."""
+    counts = [int(c) for c in counts]
+    used, whole = [k for k, c in enumerate(counts) if c > 0], sum(counts)
+    out = np.zeros(len(counts), np.int64)
+    if not used:
+        return out
+    spare = total - len(used)
+    shares = {k: divmod(counts[k] * spare, whole) for k in used}
+    left = spare - sum(q for q, _ in shares.values())
+    favoured = sorted(used, key=lambda k: (-shares[k][1], k))[:left]
+    for k in used:
+        out[k] = 1 + shares[k][0] + (k in favoured)
     return out
 
 
@@ -75,19 +79,37 @@ class RangeANS:
 
 
 class BitVector:
-    """Bits with a two-level rank directory: counts before blocks, and popcounts of words inside."""
+    """Bits with a two-level rank directory: counts before blocks, and popcounts of words inside.  Only
+    the words are stored; the directory is counted again when they are read."""
 
     WORDS = 20  # 64-bit words a block
 
     def __init__(self, bits: np.ndarray):
-        self.n = len(bits)
-        padded = np.zeros(-(-(self.n + 1) // 64) * 64, np.uint8)
-        padded[: self.n] = bits
-        self.words = np.packbits(padded, bitorder="little").view("<u8")
-        ones = np.bitwise_count(self.words).astype(np.int64)
+        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
+        padded[: len(bits)] = bits
+        self._index(len(bits), np.packbits(padded, bitorder="little").view("<u8"))
+
+    def _index(self, n: int, words: np.ndarray) -> None:
+        self.n, self.words = n, words
+        ones = np.bitwise_count(words).astype(np.int64)
         self.before = np.concatenate([[0], np.cumsum(ones)])  # L1 and L2 in one directory of word prefixes
         self.blocks = self.before[:: self.WORDS]
 
+    def to_bytes(self) -> bytes:
+        return self.n.to_bytes(4, "little") + self.words.tobytes()
+
+    @classmethod
+    def read(cls, data: bytes, at: int = 0) -> tuple[BitVector, int]:
+        """The vector stored at a place, and the place after it."""
+        n = int.from_bytes(data[at : at + 4], "little")
+        size = -(-(n + 1) // 64)
+        out = cls.__new__(cls)
+        out._index(n, np.frombuffer(data, "<u8", size, at + 4))
+        return out, at + 4 + 8 * size
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little")
+
     def __getitem__(self, k: int) -> int:
         return int(self.words[k >> 6]) >> (k & 63) & 1
 
@@ -103,6 +125,14 @@ class BitVector:
         return (8 * len(self.blocks) + 2 * (len(self.before) - len(self.blocks))) / max(1, 8 * len(self.words))
 
 
+def _read_vectors(data: bytes, at: int = 0) -> list[BitVector]:
+    out = []
+    while at < len(data):
+        vector, at = BitVector.read(data, at)
+        out.append(vector)
+    return out
+
+
 # --- wavelet matrices ---------------------------------------------------------------------------------
 
 
@@ -118,6 +148,27 @@ class WaveletMatrix:
             self.zeros.append(int((plane == 0).sum()))
             rest = np.concatenate([rest[plane == 0], rest[plane == 1]])
 
+    def to_bytes(self) -> bytes:
+        return b"".join(v.to_bytes() for v in self.levels)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> WaveletMatrix:
+        out = cls.__new__(cls)
+        out.levels = _read_vectors(data)
+        out.bits, out.zeros = len(out.levels), [v.rank0(v.n) for v in out.levels]
+        return out
+
+    def symbols(self) -> np.ndarray:
+        """All symbols in order, a level of all of them at a time."""
+        at, out = np.arange(self.levels[0].n), np.zeros(self.levels[0].n, np.uint8)
+        for vector, zeros in zip(self.levels, self.zeros):
+            plane = vector.bits()
+            ones = np.concatenate([[0], np.cumsum(plane, dtype=np.int64)])[at]
+            bit = plane[at]
+            out = out << 1 | bit
+            at = np.where(bit == 1, zeros + ones, at - ones)
+        return out
+
     def access(self, k: int) -> int:
         out = 0
         for bits, zeros in zip(self.levels, self.zeros):
@@ -148,6 +199,26 @@ class HuffmanWaveletMatrix:
             self.levels.append(BitVector((rest == s).astype(np.uint8)))
             rest = rest[rest != s]
 
+    def to_bytes(self) -> bytes:
+        return b"".join(v.to_bytes() for v in self.levels)
+
+    @classmethod
+    def from_bytes(cls, data: bytes, at: int = 0) -> HuffmanWaveletMatrix:
+        out = cls.__new__(cls)
+        out.levels = _read_vectors(data, at)
+        out.last = len(out.levels)
+        return out
+
+    def symbols(self) -> np.ndarray:
+        """All symbols in order, from the longest codes up."""
+        rest = np.full(self.levels[-1].rank0(self.levels[-1].n), self.last, np.uint8)
+        for s in range(self.last - 1, -1, -1):
+            plane = self.levels[s].bits()
+            out = np.full(len(plane), s, np.uint8)
+            out[plane == 0] = rest
+            rest = out
+        return rest
+
     def access(self, k: int) -> int:
         for s, bits in enumerate(self.levels):
             if bits[k]:
@@ -162,24 +233,70 @@ class HuffmanWaveletMatrix:
 
 
 class StoppedStream:
-    """A complete tree of operations of which those below stopped nodes are not stored; places of the
-    complete tree are translated by rank over the stored ones."""
+    """A complete tree of operations of which those below stopped nodes are not stored.  A stop bit for
+    every stored node above the finest level leads from the root to any place: the children of the
+    j-th node that goes on lie in the j-th group of eight of the next level."""
 
     def __init__(self, complete: np.ndarray, starts: np.ndarray, stop: np.ndarray):
-        """``stop`` marks, in the complete order, nodes whose subtree is constant."""
-        self.starts = np.asarray(starts)
-        cover = np.full(len(complete), -1, np.int64)  # the stopped ancestor of each node
-        for lod in range(1, len(self.starts)):
-            a, b = int(self.starts[lod]), int(self.starts[lod + 1]) if lod + 1 < len(self.starts) else len(complete)
-            up = int(self.starts[lod - 1]) + (np.arange(b - a) >> 3)
-            cover[a:b] = np.where(cover[up] >= 0, cover[up], np.where(stop[up] > 0, up, -1))
-        self.cover = cover
-        self.stored = BitVector((cover < 0).astype(np.uint8))
-        self.stop = BitVector(stop[cover < 0])
-        self.symbols = HuffmanWaveletMatrix(complete[cover < 0])
+        """``stop`` marks, in the complete order, nodes below which every operation is 0."""
+        self.starts = [int(s) for s in starts]
+        stored, inner = np.ones(len(complete), bool), self.starts[-1]
+        for a, b, c in zip(self.starts, self.starts[1:], [*self.starts[2:], len(complete)]):
+            stored[b:c] = np.repeat(stored[a:b] & (stop[a:b] == 0), 8)
+        self.stop = BitVector(stop[:inner][stored[:inner]])
+        self.kept = HuffmanWaveletMatrix(complete[stored])
+        self._place_levels()
+
+    def _place_levels(self) -> None:
+        """Where the stored nodes of each level begin."""
+        self.at, n = [0], 1
+        for _ in self.starts[1:]:
+            self.at.append(self.at[-1] + n)
+            n = 8 * (self.stop.rank0(self.at[-1]) - self.stop.rank0(self.at[-2]))
+
+    def to_bytes(self) -> bytes:
+        return self.stop.to_bytes() + self.kept.to_bytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes, starts) -> StoppedStream:
+        out = cls.__new__(cls)
+        out.starts = [int(s) for s in starts]
+        out.stop, at = BitVector.read(data)
+        out.kept = HuffmanWaveletMatrix.from_bytes(data, at)
+        out._place_levels()
+        return out
+
+    def _walk(self, k: int) -> tuple[int, bool]:
+        """(stored place of a node or of the stopped node above it, whether it is the latter)."""
+        level = bisect.bisect_right(self.starts, k) - 1
+        i, j = k - self.starts[level], 0
+        for up in range(level):
+            place = self.at[up] + j
+            if self.stop[place]:
+                return place, True
+            j = 8 * (self.stop.rank0(place) - self.stop.rank0(self.at[up])) + (i >> 3 * (level - up - 1) & 7)
+        return self.at[level] + j, False
 
     def translate(self, k: int) -> int:
         """Stored place of a node, or of the stopped node above it."""
-        while self.cover[k] >= 0:
-            k = int(self.cover[k])
-        return self.stored.rank1(k)
+        return self._walk(k)[0]
+
+    def access(self, k: int) -> int:
+        place, below = self._walk(k)
+        return 0 if below else self.kept.access(place)
+
+    def rank(self, symbol: int, k: int) -> int:
+        """Occurrences of a symbol but 0 before a stored node."""
+        return self.kept.rank(symbol, self.translate(k))
+
+    def symbols(self) -> np.ndarray:
+        """The complete tree's operations in order."""
+        kept, stop, at, out = self.kept.symbols(), self.stop.bits(), np.zeros(1, np.int64), []
+        for level, first in enumerate(self.at):
+            mine = np.zeros(8**level, np.uint8)
+            mine[at] = kept[first : first + len(at)]
+            out.append(mine)
+            if level + 1 < len(self.at):
+                on = at[stop[first : first + len(at)] == 0]
+                at = (on[:, None] * 8 + np.arange(8)).reshape(-1)
+        return np.concatenate(out)

@@ -32,12 +32,22 @@ def provision(demand: DataFrame, capacity: int) -> DataFrame:
 
 
 def assign(allocated: DataFrame, provisioned: DataFrame) -> DataFrame:
-    """(brick_idx, lod, offset) of the granted bricks, in brick order within a level."""
-    rank = F.row_number().over(Window.partitionBy("lod").orderBy("brick_idx")) - 1
-    joined = allocated.withColumn("_k", rank).join(F.broadcast(provisioned), "lod").where("_k < granted")
+    """(brick_idx, lod, offset) of the granted bricks, in brick order within a level.  Bricks are ranked
+    inside runs of 65536 indices; of a level only the runs' counts meet in one window."""
+    run = allocated.withColumn("_run", F.shiftright(F.col("brick_idx").cast("long"), 16))
+    before = Window.partitionBy("lod").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = run.groupBy("lod", "_run").agg(F.count("*").alias("_n")).select("lod", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("lod", "_run").orderBy("brick_idx")) - 1
+    joined = run.withColumn("_r", rank).join(runs, ["lod", "_run"]).withColumn("_k", F.col("_base") + F.col("_r"))
+    joined = joined.join(F.broadcast(provisioned), "lod").where("_k < granted")  # a row a level
     return joined.select("brick_idx", "lod", (F.col("start") + F.col("_k") * F.col("block")).alias("offset"))
 
 
+def clear(state: DataFrame, lods: int) -> DataFrame:
+    """The state after a hard reset: no brick has a slot, all are at the level past the coarsest."""
+    return state.withColumn("current_lod", F.lit(lods).cast("int")).withColumn("slot", F.lit(None).cast("long"))
+
+
 def admit_details(asked: DataFrame, capacity: int) -> DataFrame:
     """asked (brick_idx, size), repeats collapse: bricks in ascending order join while they fit; one that
     does not is skipped.  The walk depends on every earlier choice, so it runs as one fold over the

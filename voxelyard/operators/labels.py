@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spacefill import morton3d
+from ..functions.spacefill import div, morton3d
 from ..volume import AXES, Volume
 
 #: Rows of a dimension table that may be broadcast; larger ones are joined by shuffle.
@@ -21,16 +21,35 @@ def small(df: DataFrame) -> DataFrame:
 
 def first_appearance(volume: Volume, chunk: tuple[int, int, int] | None = None) -> DataFrame:
     """(label, csgv_id): ids from 0 by the first position on the Z-curve - of chunks, then of voxels
-    in the chunk.  The window runs over one row a label, never over voxels."""
+    in the chunk.  Labels are ranked inside runs of 4096 positions, which hold that many at most; only
+    the runs' counts pass the global window."""
     bits = max(1, max(volume.dims).bit_length())
     if chunk:
-        at = [F.call_function("div", F.col(a).cast("long"), F.lit(c).cast("long")) for a, c in zip(AXES, chunk)]
-        within = [F.col(a) % c for a, c in zip(AXES, chunk)]
-        place = F.struct(morton3d(*at, bits).alias("c"), morton3d(*within, bits).alias("v"))
+        at = [div(a, c) for a, c in zip(AXES, chunk)]
+        inner = max(1, max(chunk).bit_length())
+        place = F.shiftleft(morton3d(*at, bits), 3 * inner).bitwiseOR(morton3d(*[F.col(a) % c for a, c in zip(AXES, chunk)], inner))
     else:
-        place = F.struct(F.lit(0).alias("c"), morton3d("x", "y", "z", bits).alias("v"))
-    first = volume.df.groupBy("label").agg(F.min(place).alias("first"))
-    return first.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("csgv_id"))
+        place = morton3d("x", "y", "z", bits)
+    first = volume.df.groupBy("label").agg(F.min(place).alias("first")).withColumn("run", F.shiftright("first", 12))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = first.groupBy("run").agg(F.count("*").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("first")) - 1
+    return first.withColumn("_r", rank).join(runs, "run").select("label", (F.col("base") + F.col("_r")).cast("long").alias("csgv_id"))
+
+
+def dummy_attributes(volume: Volume) -> DataFrame:
+    """The table of a volume without a database: its one attribute is the label's own id, whose range
+    is that of 32 bits whatever the volume holds."""
+    ids = volume.df.select("label").distinct()
+    return ids.select("label", F.col("label").alias("csgv_id"), F.lit(0.0).alias("lo"), F.lit(float(2**32 - 1)).alias("hi"))
+
+
+def attribute_vectors(table: DataFrame, column: str, run: int = 4096) -> DataFrame:
+    """(run, first_id, values): an attribute in the order of ids, in runs of ``run`` ids, so that no task holds
+    more; missing values read 0."""
+    entry = F.struct("csgv_id", F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("v"))
+    grouped = table.groupBy(div("csgv_id", run).alias("run")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return grouped.select("run", F.get("e", F.lit(0))["csgv_id"].alias("first_id"), F.transform("e", lambda x: x["v"]).alias("values"))
 
 
 def remap_strict(volume: Volume, mapping: DataFrame) -> Volume:

@@ -134,6 +134,11 @@ def _rgb(lab: tuple[float, float, float]) -> tuple[float, float, float]:
     return tuple(min(1.0, max(0.0, 12.92 * v if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055)) for v in linear)
 
 
+# Fixed values of the published diverging map (Moreland, "Diverging Color Maps for Scientific
+# Visualization", 2009): least saturation, least magnitude of the white middle, hue distance.
+_SATURATED, _WHITE_MIDDLE, _HUE_GAP = 0.05, 88.0, math.pi / 3
+
+
 def diverging(low: tuple[float, float, float], high: tuple[float, float, float], at: float) -> tuple[float, float, float]:
     """Diverging colour map in polar CIELAB (magnitude, saturation, hue) with a white midpoint
     between saturated, distinct hues; an unsaturated end turns its hue to avoid false colours."""
@@ -148,20 +153,20 @@ def diverging(low: tuple[float, float, float], high: tuple[float, float, float],
         if of[0] >= m:
             return of[2]
         spin = of[1] * math.sqrt(m * m - of[0] * of[0]) / (of[0] * math.sin(of[1]))
-        return of[2] + spin if of[2] > -math.pi / 3 else of[2] - spin
+        return of[2] + spin if of[2] > -_HUE_GAP else of[2] - spin
 
     a, b = msh(low), msh(high)
     gap = abs(a[2] - b[2])
     gap = min(gap, 2 * math.pi - gap)
-    if a[1] > 0.05 and b[1] > 0.05 and gap > math.pi / 3:
-        middle = max(a[0], b[0], 88.0)
+    if a[1] > _SATURATED and b[1] > _SATURATED and gap > _HUE_GAP:
+        middle = max(a[0], b[0], _WHITE_MIDDLE)
         if at < 0.5:
             b, at = (middle, 0.0, 0.0), 2 * at
         else:
             a, at = (middle, 0.0, 0.0), 2 * at - 1
-    if a[1] < 0.05 < b[1]:
+    if a[1] < _SATURATED < b[1]:
         a = (a[0], a[1], turned(b, a[0]))
-    elif b[1] < 0.05 < a[1]:
+    elif b[1] < _SATURATED < a[1]:
         b = (b[0], b[1], turned(a, b[0]))
     m, s, h = (p * (1 - at) + q * at for p, q in zip(a, b))
     return _rgb((m * math.cos(s), m * math.sin(s) * math.cos(h), m * math.sin(s) * math.sin(h)))

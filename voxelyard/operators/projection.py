@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 RAYS = {"x": ("y", "z"), "y": ("x", "z"), "z": ("x", "y")}
 
 
-def first_hit(voxels: DataFrame, axis: str = "z") -> DataFrame:
-    """Nearest voxel of each ray: ray coordinates, depth, label.  A min_by with map-side partials."""
-    rays = RAYS[axis]
-    return voxels.groupBy(*rays).agg(F.min(F.struct(F.col(axis).alias("depth"), "label")).alias("h")).select(*rays, "h.depth", "h.label")
+def first_hit(voxels: DataFrame, axis: str = "z", more: tuple[str, ...] = ()) -> DataFrame:
+    """Nearest voxel of each ray: ray coordinates, depth, label and further columns.  A least struct
+    with map-side partials."""
+    rays, carried = RAYS[axis], ("depth", "label", *more)
+    nearest = F.min(F.struct(F.col(axis).alias("depth"), *carried[1:])).alias("h")
+    return voxels.groupBy(*rays).agg(nearest).select(*rays, *[f"h.{c}" for c in carried])
 
 
 def label_changes(voxels: DataFrame, axis: str = "z") -> DataFrame:

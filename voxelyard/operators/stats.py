@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import change_key
 from ..functions.scalar import bytes_per_voxel
 from ..volume import AXES, Volume
 
 
+def _beside(axis: str, side: int, last: int) -> Column:
+    """Label of the voxel next on an axis (1) or before (-1), its own at the border, null if absent."""
+    ray = Window.partitionBy(*[a for a in AXES if a != axis]).orderBy(axis)
+    step = F.lead if side > 0 else F.lag
+    found = F.when(step(axis).over(ray) == F.col(axis) + side, step("label").over(ray))
+    return F.when(F.col(axis) == (last if side > 0 else 0), F.col("label")).otherwise(found)
+
+
 def gradient_range(volume: Volume) -> DataFrame:
-    """Least and greatest value and gradient magnitude (central differences, clamped at the borders)."""
-    out = volume.df.select(*AXES, "label")
-    for a in AXES:
-        step = {b: int(a == b) for b in AXES}
-        for sign, name in ((1, f"_p{a}"), (-1, f"_m{a}")):
-            side = volume.clamped(*(sign * step[b] for b in AXES)).select(*AXES, F.col("other").alias(name))
-            out = out.join(side, list(AXES))
-    squares = [F.pow((F.col(f"_p{a}") - F.col(f"_m{a}")) / 2.0, F.lit(2.0)) for a in AXES]
+    """Least and greatest value and gradient magnitude (central differences, clamped at the borders).
+    A shuffle an axis brings the voxels of a ray together; there are no joins."""
+    out, squares = volume.df.select(*AXES, "label"), []
+    for a, size in zip(AXES, volume.dims):
+        out = out.withColumn(f"_g{a}", F.pow((_beside(a, 1, size - 1) - _beside(a, -1, size - 1)) / 2.0, F.lit(2.0)))
+        squares.append(F.col(f"_g{a}"))
     size = F.sqrt(squares[0] + squares[1] + squares[2])
     return out.select("label", size.alias("g")).agg(F.min("label").alias("min_value"), F.max("label").alias("max_value"), F.min("g").alias("min_gradient"), F.max("g").alias("max_gradient"))
 
@@ -122,3 +129,8 @@ def dtype_guard(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
     scaled = F.floor((v - lo) / F.greatest(hi - lo, F.lit(1.0)) * (high - low) + low)
     fitted = F.when(hi - lo > high - low, scaled).when(lo < low, v + (low - lo)).when(hi > high, v - (hi - high)).otherwise(v)
     return df.crossJoin(F.broadcast(span)).withColumn(column, fitted.cast("long")).drop("_lo", "_hi")
+
+
+def brick_keys(volume: Volume, brick: int) -> DataFrame:
+    """(brick_idx, change): a key of a brick's voxels in any order, to find bricks that changed."""
+    return volume.with_brick(brick).df.groupBy("brick_idx").agg(F.bit_xor(change_key(*AXES, "label")).alias("change"))

@@ -5,31 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.labels import gather
-from ..operators.lod import brick_palette, visible_bricks
+from ..operators.labels import gather, small
 from ..operators.materials import Material, classify
 from ..operators.projection import first_hit
 from ..volume import Volume
 
 
-def visible_voxels(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material], brick: int = 8) -> DataFrame:
-    """Voxels with a material, after bricks without any visible label are pruned by their palettes."""
+def visible_voxels(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material]) -> DataFrame:
+    """Voxels with a material: one scan, joined with the labels that have one."""
     classified = table.select("label", *columns).withColumn("material", classify(materials))
-    seen = classified.where("material >= 0").select("label", "material")
-    bricks = visible_bricks(brick_palette(volume, brick), seen)
-    kept = volume.with_brick(brick).df.join(bricks, "brick_idx", "left_semi")
-    return kept.join(seen, "label").select("x", "y", "z", "label", "material")
+    return volume.df.join(small(classified.where("material >= 0").select("label", "material")), "label").select("x", "y", "z", "label", "material")
 
 
-def image(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material], brick: int = 8, axis: str = "z") -> DataFrame:
+def image(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material], axis: str = "z") -> DataFrame:
     """First visible voxel of each ray with its material."""
-    voxels = visible_voxels(volume, table, columns, materials, brick)
-    hits = first_hit(voxels, axis)
-    return hits.join(voxels.select("label", "material").distinct(), "label")
+    return first_hit(visible_voxels(volume, table, columns, materials), axis, ("material",))
 
 
-def material_histogram(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material], brick: int = 8) -> DataFrame:
-    return image(volume, table, columns, materials, brick).groupBy("material").agg(F.count("*").alias("pixels"))
+def material_histogram(volume: Volume, table: DataFrame, columns: list[str], materials: list[Material]) -> DataFrame:
+    return image(volume, table, columns, materials).groupBy("material").agg(F.count("*").alias("pixels"))
 
 
 __all__ = ["gather", "image", "material_histogram", "visible_voxels"]

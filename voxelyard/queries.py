@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import bricks as B
+from .codec import packing as P
 from .functions import hashing, scalar, spacefill
 from .operators import cache, chunks, labels, lod, materials, projection, stats
 from .operators.materials import ANY, CLAMP, NONE, RANDOM, REPEAT, Material
@@ -44,10 +47,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files and tables: in the shared folder where one is set, else a local one
+    (tests).  Volume files are written by the driver, so the shared folder must be a mounted one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix="voxelyard-")
+    path = os.path.join(re.sub("^file:/+", "/", shared), "voxelyard", uuid.uuid4().hex[:12])
+    if not path.startswith("/"):
+        raise ValueError(f"volume files need a mounted folder, not {shared}")
+    os.makedirs(path)
+    return path
+
+
 def _orders(spark: SparkSession, sf_dir: str, label: Callable) -> Volume:
     orders = table(spark, sf_dir, "orders")
     x, y, z = spacefill.unlinear("o_orderkey", W, H)
-    depth = orders.agg(F.max("o_orderkey").alias("m")).first().m // (W * H) + 1  # from the file's statistics
+    depth = orders.agg(F.max("o_orderkey").alias("m")).first().m // (W * H) + 1  # one scan of the key column
     return Volume(orders.select(x.alias("x"), y.alias("y"), z.alias("z"), label().cast("long").alias("label")), W, H, int(depth))
 
 
@@ -568,7 +584,7 @@ def _roundtrip(mode: str, mask: str = "o") -> Query:
     return run
 
 
-for _name, _mode, _mask in (("nibble", "nibble", "o"), ("nibble_delta", "nibble", "a"), ("nibble_short_delta", "nibble", "p,n,l,d-,s"), ("rans", "rans", "a"), ("rans_double", "rans2", "o"), ("wavelet", "wavelet", "o"), ("huffman_wm", "huffman", "o"), ("random", "random", "o")):
+for _name, _mode, _mask in (("nibble", "nibble", "o"), ("nibble_delta", "nibble", "a"), ("nibble_short_delta", "nibble", "p,n,l,d-,s"), ("rans", "rans", "a"), ("rans_double", "rans2", "o"), ("wavelet", "wavelet", "o"), ("huffman_wm", "huffman", "o"), ("random", "random", "o"), ("stopped", "stopped", "o")):
     query(f"codec_{_name}_roundtrip", WHOLE)(_roundtrip(_mode, _mask))
 
 
@@ -779,7 +795,13 @@ def chunk_merge_bricks(spark, sf_dir):
 # --- cache and requests -------------------------------------------------------------------------------
 
 
-@query("detail_request_admission")
+@query(
+    "detail_request_admission",
+    f"""WITH RECURSIVE {V1}, p AS (SELECT {BRICK} AS brick_idx, count(DISTINCT label) AS size FROM v GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY brick_idx) AS k FROM p),
+ f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS brick_idx, CAST(0 AS BIGINT) AS "offset", CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS total, FALSE AS taken
+  UNION ALL SELECT r.k, r.brick_idx, f.total, r.size, CASE WHEN f.total + r.size <= 2000 THEN f.total + r.size ELSE f.total END, f.total + r.size <= 2000 FROM f JOIN r ON r.k = f.k + 1)
+SELECT brick_idx, "offset", size FROM f WHERE taken""",
+)
 def detail_request_admission(spark, sf_dir):
     asked = lod.brick_palette(v1(spark, sf_dir), SIDE).groupBy("brick_idx").agg(F.count("*").alias("size"))
     return cache.admit_details(asked, 2000)
@@ -814,7 +836,7 @@ def cache_assign(spark, sf_dir):
 def _through_file(suffix: str, dtype: str = "uint32") -> Query:
     def run(spark, sf_dir):
         v = v1(spark, sf_dir)
-        path = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), f"volume{suffix}")
+        path = os.path.join(_folder(spark), f"volume{suffix}")
         volumes.write_volume(v, path, dtype)
         back = volumes.read_file(spark, path)
         # voxels past the last order were written as 0
@@ -829,7 +851,7 @@ for _suffix, _dtype in ((".vraw", "uint32"), (".nrrd", "uint32"), (".nhdr", "uin
 
 @query("npz_roundtrip", f"WITH {V1} SELECT x, y, z, label FROM v")
 def npz_roundtrip(spark, sf_dir):
-    path = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "volume.npz")
+    path = os.path.join(_folder(spark), "volume.npz")
     volumes.write_npz(v1(spark, sf_dir), path)
     return volumes.read_npz(spark, path).df.where(F.col("x") + W * F.col("y") + W * H * F.col("z") < table(spark, sf_dir, "orders").count())
 
@@ -838,7 +860,7 @@ def npz_roundtrip(spark, sf_dir):
 def chunk_files_roundtrip(spark, sf_dir):
     v = v1(spark, sf_dir)
     top = Volume(v.clip((0, 0, 0), (W, H, 1)).df, W, H, 1)
-    pattern = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "c{}_{}_{}.vraw")
+    pattern = os.path.join(_folder(spark), "c{}_{}_{}.vraw")
     last = volumes.write_chunk_files(top, pattern, (20, 20, 20))
     return volumes.read_chunks(spark, pattern, last).df
 
@@ -846,7 +868,7 @@ def chunk_files_roundtrip(spark, sf_dir):
 @query("chunk_files_roundtrip_whole", f"WITH {V1} SELECT x, y, z, label FROM v")
 def chunk_files_roundtrip_whole(spark, sf_dir):
     """All slices, of which ``chunk_files_roundtrip`` is the first; the last chunk along z is partial."""
-    pattern = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "c{}_{}_{}.vraw")
+    pattern = os.path.join(_folder(spark), "c{}_{}_{}.vraw")
     last = volumes.write_chunk_files(v1(spark, sf_dir), pattern, (20, 20, 12))
     # voxels past the last order were written as 0
     return volumes.read_chunks(spark, pattern, last).df.where(F.col("x") + W * F.col("y") + W * H * F.col("z") < table(spark, sf_dir, "orders").count())
@@ -855,14 +877,14 @@ def chunk_files_roundtrip_whole(spark, sf_dir):
 @query("csgv_table_roundtrip", WHOLE)
 def csgv_table_roundtrip(spark, sf_dir):
     v = v2(spark, sf_dir)
-    path = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "bricks")
+    path = os.path.join(_folder(spark), "bricks")
     B.encode(v, SIDE, "nibble", "a").write.mode("errorifexists").parquet(path)
     return B.decode(spark.read.parquet(path), v.dims, SIDE, "nibble", "a")
 
 
 @query("csv_attributes", f"WITH {ATTR} SELECT label, CAST(nation AS BIGINT) AS nation, balance FROM a")
 def csv_attributes(spark, sf_dir):
-    path = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "attributes")
+    path = os.path.join(_folder(spark), "attributes")
     tables.write_csv(customers(spark, sf_dir).coalesce(1), path)
     name = next(n for n in os.listdir(path) if n.endswith(".csv"))
     return tables.read_attributes_csv(spark, os.path.join(path, name), "label")
@@ -872,7 +894,7 @@ def csv_attributes(spark, sf_dir):
 def sqlite_attributes(spark, sf_dir):
     import sqlite3
 
-    path = os.path.join(tempfile.mkdtemp(prefix="voxelyard-"), "attributes.db3")
+    path = os.path.join(_folder(spark), "attributes.db3")
     rows = [tuple(r) for r in customers(spark, sf_dir).select("label", F.col("nation").cast("long"), "balance").toLocalIterator()]
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE cells (label INTEGER PRIMARY KEY, nation INTEGER, balance REAL)")
@@ -900,7 +922,7 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 
 def _drain(spark, result: DataFrame, mode: str) -> DataFrame:
-    work = tempfile.mkdtemp(prefix="voxelyard-stream-")
+    work = _folder(spark)
     return feedback.run_available(spark, result, "stream_" + os.path.basename(work).replace("-", "_"), mode, work)
 
 
@@ -934,3 +956,116 @@ def registered_functions(spark, sf_dir):
     scalar.register_udfs(spark)
     v1(spark, sf_dir).df.createOrReplaceTempView("voxelyard_voxels")
     return spark.sql("SELECT label, max(morton3d(x, y, z)) AS m, max(bytes_per_voxel(label)) AS b FROM voxelyard_voxels GROUP BY label")
+
+
+# --- stored structures, checks and tables that the queries above do not reach ---------------------------
+
+
+@query("codec_stopped_random_access", f"WITH {V2} SELECT x, y, z, label FROM v WHERE (x + 3 * y + 5 * z) % 7 = 0")
+def codec_stopped_random_access(spark, sf_dir):
+    v = v2(spark, sf_dir)
+    wanted = v.df.where("(x + 3 * y + 5 * z) % 7 = 0").select(*AXES)
+    return B.read_voxels(B.encode(v, SIDE, "stopped"), wanted, v.dims, SIDE, "stopped")
+
+
+@query(
+    "brick_damage_found",
+    f"WITH {V2}, b AS (SELECT DISTINCT {BRICK} AS brick_idx FROM v) SELECT brick_idx, 'first start' AS problem FROM b WHERE brick_idx % 7 = 1 UNION ALL SELECT brick_idx, 'empty palette' FROM b WHERE brick_idx % 5 = 2 UNION ALL SELECT brick_idx, 'level count' FROM b WHERE brick_idx % 11 = 3 UNION ALL SELECT brick_idx, 'level beyond the end' FROM b WHERE brick_idx % 13 = 4",
+)
+def brick_damage_found(spark, sf_dir):
+    """Every brick that was damaged is found, with its damage, and no other."""
+    bricks, starts, at = B.encode(v2(spark, sf_dir), SIDE, "nibble", "a"), F.col("starts"), F.col("brick_idx")
+    cut = F.when(at % 11 == 3, F.slice(starts, 1, F.size(starts) - 1)).otherwise(starts)
+    bricks = bricks.withColumn("starts", cut)
+    bricks = bricks.withColumn("starts", F.when(at % 7 == 1, F.concat(F.array(F.lit(1)), F.slice(starts, 2, F.size(starts) - 1))).otherwise(starts))
+    far = F.concat(F.slice(starts, 1, F.size(starts) - 1), F.array((F.col("n_ops") + 1).cast("int")))
+    bricks = bricks.withColumn("starts", F.when(at % 13 == 4, far).otherwise(starts))
+    bricks = bricks.withColumn("palette", F.when(at % 5 == 2, F.array().cast("array<bigint>")).otherwise(F.col("palette")))
+    return B.violations(bricks, SIDE)
+
+
+@query("brick_cache_roundtrip", f"WITH {V1} SELECT x, y, z, label FROM v")
+def brick_cache_roundtrip(spark, sf_dir):
+    return B.read_entries(B.cache_entries(v1(spark, sf_dir), SIDE), SIDE)
+
+
+ENTRIES = f"e AS (SELECT {BRICK} AS brick_idx, count(DISTINCT label) AS entries FROM v GROUP BY 1), b AS (SELECT *, CAST(length(bin(entries)) AS INTEGER) AS index_bits FROM e), s AS (SELECT brick_idx, entries, index_bits, CAST(4 * ceil(512.0 / (32 // index_bits)) + 8 * entries AS BIGINT) AS bytes FROM b)"
+
+
+@query("brick_cache_sizes", f"WITH {V2}, {ENTRIES} SELECT * FROM s")
+def brick_cache_sizes(spark, sf_dir):
+    entries = B.cache_entries(v2(spark, sf_dir), SIDE)
+    return entries.select("brick_idx", F.size("palette").cast("long").alias("entries"), "index_bits", (F.octet_length("words") + 8 * F.size("palette")).cast("long").alias("bytes"))
+
+
+@query("compression_rate_stored", f"WITH {V2}, {ENTRIES}, n AS (SELECT count(*) AS voxels, count(DISTINCT label) AS labels FROM v), o AS (SELECT *, voxels * CASE WHEN labels >= 65536 THEN 4 WHEN labels >= 256 THEN 2 ELSE 1 END AS original_bytes FROM n), t AS (SELECT CAST(sum(bytes) AS BIGINT) AS stored_bytes FROM s) SELECT voxels, labels, original_bytes, stored_bytes, round(stored_bytes / original_bytes, 6) AS rate FROM o, t")
+def compression_rate_stored(spark, sf_dir):
+    v = v2(spark, sf_dir)
+    stored = B.entry_sizes(v, SIDE).agg(F.sum("bytes").alias("_stored"))
+    rate = stats.compression_rate(v, 0).crossJoin(F.broadcast(stored)).withColumn("stored_bytes", F.col("_stored"))
+    return rate.select("voxels", "labels", "original_bytes", "stored_bytes", F.round(F.col("stored_bytes") / F.col("original_bytes"), 6).alias("rate"))
+
+
+@query("memory_accounting", f"WITH {V2}, {ENTRIES} SELECT round(sum(11 * entries + 16) / 1e6, 9) AS mem_encoding_mb, CAST(2 AS DOUBLE) AS mem_cache_mb, CAST(0.5 AS DOUBLE) AS mem_cache_used_mb, CAST(0.25 AS DOUBLE) AS mem_cache_fillrate FROM s")
+def memory_accounting(spark, sf_dir):
+    n = F.col("entries").cast("int")
+    sized = B.entry_sizes(v2(spark, sf_dir), SIDE).select(F.repeat(F.lit("oo"), n).alias("ops"), F.repeat(F.lit("d"), n).alias("detail"), F.sequence(F.lit(1), n).alias("palette"), F.array_repeat(F.lit(0), 4).alias("starts"))
+    return cache.memory(sized, 500_000, 2_000_000).withColumn("mem_encoding_mb", F.round("mem_encoding_mb", 9))
+
+
+@query("cache_clear", f"WITH {V1} SELECT DISTINCT {BRICK} AS brick_idx, 4 AS current_lod, FALSE AS resident FROM v")
+def cache_clear(spark, sf_dir):
+    at = F.col("brick_idx")
+    state = lod.brick_palette(v1(spark, sf_dir), SIDE).select("brick_idx").distinct().select(at, (at % 4).cast("int").alias("current_lod"), at.alias("slot"))
+    return cache.clear(state, 4).select("brick_idx", "current_lod", F.col("slot").isNotNull().alias("resident"))
+
+
+@query("op_frequencies", f"{OPS_SQL}, n AS (SELECT op, count(*) AS n FROM ops GROUP BY op), t AS (SELECT op, n * (16384 - count(*) OVER ()) AS part, sum(n) OVER () AS whole, 16384 - count(*) OVER () AS spare FROM n), q AS (SELECT op, part // whole AS share, part % whole AS rest, spare FROM t), r AS (SELECT op, share, row_number() OVER (ORDER BY rest DESC, op) AS k, spare - sum(share) OVER () AS remaining FROM q) SELECT op, CAST(1 + share + CASE WHEN k <= remaining THEN 1 ELSE 0 END AS BIGINT) AS frequency FROM r")
+def op_frequencies(spark, sf_dir):
+    counted = {r.op: r.n for r in lod.dense_histogram(lod.finest_operations(v2(spark, sf_dir), SIDE)).collect()}  # 16 rows
+    parts = P.normalized([counted[k] for k in range(16)])
+    return spark.createDataFrame([(k, int(f)) for k, f in enumerate(parts) if f], "op int, frequency long")
+
+
+@query("dummy_attribute_table", f"WITH {V1} SELECT DISTINCT label, label AS csgv_id, CAST(0 AS DOUBLE) AS lo, CAST(4294967295 AS DOUBLE) AS hi FROM v")
+def dummy_attribute_table(spark, sf_dir):
+    return labels.dummy_attributes(v1(spark, sf_dir))
+
+
+@query("attribute_vectors", f"WITH {V3}, {ATTR}, f AS (SELECT label, min({M3}) AS m FROM v GROUP BY label), i AS (SELECT label, row_number() OVER (ORDER BY m) - 1 AS csgv_id FROM f) SELECT CAST(csgv_id // 64 AS BIGINT) AS run, CAST(min(csgv_id) AS BIGINT) AS first_id, string_agg(CAST(CAST(coalesce(nation, 0) AS INTEGER) AS VARCHAR), ',' ORDER BY csgv_id) AS nations FROM i LEFT JOIN a USING (label) GROUP BY 1")
+def attribute_vectors(spark, sf_dir):
+    ids = labels.first_appearance(v3(spark, sf_dir))
+    found = labels.attribute_vectors(labels.attribute_table(ids, customers(spark, sf_dir), "label"), "nation", 64)
+    return found.select("run", "first_id", F.array_join(F.transform("values", lambda x: x.cast("int").cast("string")), ",").alias("nations"))
+
+
+@query("saved_attributes_roundtrip", f"WITH {ATTR} SELECT label, nation, balance, 32 AS volume_width, 32 AS volume_height, 16 AS chunk_width, 'cell' AS label_column FROM a")
+def saved_attributes_roundtrip(spark, sf_dir):
+    path = _folder(spark)
+    info = labels.volume_info(v1(spark, sf_dir), (16, 16, 16), "cell")
+    tables.save_attributes(customers(spark, sf_dir), info, path)
+    kept = spark.read.parquet(f"{path}/info").select("volume_width", "volume_height", "chunk_width", "label_column")
+    return tables.open_or_compute(spark, path, lambda: customers(spark, sf_dir)).crossJoin(F.broadcast(kept))
+
+
+@query("changed_bricks", f"WITH {V1} SELECT DISTINCT {BRICK} AS brick_idx FROM v WHERE label % 50 = 0")
+def changed_bricks(spark, sf_dir):
+    v = v1(spark, sf_dir)
+    other = v._with(v.df.withColumn("label", F.when(F.col("label") % 50 == 0, F.col("label") + 1).otherwise(F.col("label"))))
+    before, after = (stats.brick_keys(x, SIDE).withColumnRenamed("change", n) for x, n in ((v, "a"), (other, "b")))
+    return before.join(after, "brick_idx", "full").where("not a <=> b").select("brick_idx")
+
+
+@query("chunk_path_list", "SELECT 'grid/c' || x.range || '_' || y.range || '_' || z.range || '.vraw.gz' AS path, 'grid/c' || x.range || '_' || y.range || '_' || z.range AS stem FROM range(3) x, range(2) y, range(4) z")
+def chunk_path_list(spark, sf_dir):
+    paths = volumes.chunk_paths("grid/c{}_{}_{}.vraw.gz", (2, 1, 3))
+    return spark.createDataFrame([(p, volumes.strip_extension(p)) for p in paths], "path string, stem string")
+
+
+@query("nrrd_cast_read", f"WITH {V1} SELECT x, y, z, label % 256 AS label FROM v")
+def nrrd_cast_read(spark, sf_dir):
+    """Labels of 32 bits read as bytes, without rescaling."""
+    path = os.path.join(_folder(spark), "volume.nrrd")
+    volumes.write_volume(v1(spark, sf_dir), path, "uint32")
+    back = volumes.read_file(spark, path, dtype="uint8")
+    return back.df.where(F.col("x") + W * F.col("y") + W * H * F.col("z") < table(spark, sf_dir, "orders").count())

@@ -56,6 +56,10 @@ def parse(text: str) -> Spec:
     return Spec(**given)
 
 
+#: From a face of the unit cube to its corner: sqrt(3) - 1 (fixed value).
+CORNER = 0.7320508
+
+
 def _draw(spec: Spec, what: int, low: int, high: int) -> Column:
     """A number in [low, high] from the region's hash."""
     return (F.lit(low) + F.pmod(F.xxhash64(F.lit(spec.seed), F.col("region"), F.lit(what)), F.lit(high - low + 1))).cast("int")
@@ -86,7 +90,7 @@ def volume(spark: SparkSession, text: str | Spec) -> Volume:
         painted = painted.withColumn(f"g{a}", F.explode(F.sequence(lo, hi)))
     # box (every axis inside) for a roundness under 0, ellipsoid grown by it otherwise
     gaps = [F.abs(F.col(a) - F.col(f"o{a}")) / (F.col(f"w{a}") / 2.0) for a in AXES]
-    reach = F.greatest(F.col("roundness"), F.lit(-1.0)) * 0.7320508 + 1.0
+    reach = F.greatest(F.col("roundness"), F.lit(-1.0)) * CORNER + 1.0
     inside = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) < reach
     bounded = (gaps[0] <= 1.0) & (gaps[1] <= 1.0) & (gaps[2] <= 1.0)
     hits = grid.join(painted, [f"g{a}" for a in AXES]).where(inside & bounded)

@@ -30,16 +30,21 @@ SLAB_BYTES = 32 << 20
 VOXELS = "x int, y int, z int, label long"
 
 
-def _slab_rows(raw: bytes, layout: formats.Layout, z0: int, shift: tuple[int, int, int]) -> pa.RecordBatch:
-    labels = np.frombuffer(raw, layout.dtype).astype(np.int64)
+def _slab_rows(raw: bytes, layout: formats.Layout, z0: int, shift: tuple[int, int, int], dtype: str | None = None) -> pa.RecordBatch:
+    labels = np.frombuffer(raw, layout.dtype)
+    labels = (labels.astype(dtype) if dtype else labels).astype(np.int64)
     i = np.arange(len(labels))
     x, y, z = i % layout.width, i // layout.width % layout.height, i // (layout.width * layout.height) + z0
     return pa.RecordBatch.from_arrays([*(pa.array((a + s).astype(np.int32)) for a, s in zip((x, y, z), shift)), pa.array(labels)], [*AXES, "label"])
 
 
-def read_file(spark: SparkSession, path: str, shift: tuple[int, int, int] = (0, 0, 0)) -> Volume:
+def read_file(spark: SparkSession, path: str, shift: tuple[int, int, int] = (0, 0, 0), dtype: str | None = None, strict: bool = False) -> Volume:
+    """With a ``dtype``, labels are cast to it without rescaling (larger ones wrap around); where reading
+    is ``strict`` a file of another type is refused."""
     on_workers(spark)
     layout = formats.layout(path)
+    if strict and dtype and np.dtype(dtype) != np.dtype(layout.dtype).newbyteorder("="):
+        raise TypeError(f"{path} holds {np.dtype(layout.dtype).name}, not {np.dtype(dtype).name}")
     slice_bytes = layout.width * layout.height * np.dtype(layout.dtype).itemsize
     step = layout.depth if layout.compressed else max(1, SLAB_BYTES // max(1, slice_bytes))
 
@@ -54,7 +59,7 @@ def read_file(spark: SparkSession, path: str, shift: tuple[int, int, int] = (0,
                 if len(raw) != n:
                     raise ValueError(f"{layout.path} ends early")
                 for k in range(0, min(step, layout.depth - z0)):
-                    yield _slab_rows(raw[k * slice_bytes : (k + 1) * slice_bytes], layout, z0 + k, shift)
+                    yield _slab_rows(raw[k * slice_bytes : (k + 1) * slice_bytes], layout, z0 + k, shift, dtype)
 
     slabs = -(-layout.depth // step)
     df = spark.range(0, layout.depth, step, max(1, slabs)).mapInArrow(run, VOXELS)
