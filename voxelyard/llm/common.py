@@ -41,12 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table that was written; ``release`` deletes
-    it later unless ``keep`` is set."""
+def materialize(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in a folder a value of ``by`` where given, and returns the
+    table that was written; ``release`` deletes it later unless ``keep`` is set."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxelyard/{uuid.uuid4().hex[:12]}-{next(_serial)}-{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not keep:
         _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,10 +6,12 @@ A hash all of whose cells are in state "seen again" is possibly repeated - every
 hash is.  Pass two tests every row: only the possibly repeated rows shuffle (digest and id, never
 the text, when only decisions are asked for); all other rows pass straight through.
 
-The filter takes ``BITS_PER_ROW`` bits a row and never more than ``MOST_BITS``, which bounds the
-broadcast and what a task holds (two packed arrays of that size); a corpus beyond that gets more
-false positives, and these cost shuffle, never a wrong answer, because the repeated rows are grouped
-by their whole SHA-256.
+The filter takes ``BITS_PER_ROW`` bits a row, and one filter never more than ``MOST_BITS``, which
+bounds the broadcast and what a task holds (two packed arrays of that size).  ``decide`` cuts a corpus
+beyond that into parts by digest, each with a filter of its own, one after the other, so the share of
+false positives stays.  ``drop_repeats``, which tests rows beside their texts, has one filter: beyond
+``MOST_BITS`` it gets more false positives, and these cost shuffle, never a wrong answer, because the
+repeated rows are grouped by their whole SHA-256.
 
 Defined results: a null text counts as empty; a null id loses against any other; of repeated rows
 with the same id and text exactly one stays; an empty table gives an empty result; other columns
@@ -118,16 +120,39 @@ def _maybe(digests: list[bytes], seen) -> np.ndarray:
     return ((packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = digest_table(docs, id_col, text_col)
-    seen = repeat_filter(digests)
-
+def _marked(digests: DataFrame, seen) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("maybe", pa.array(_maybe(batch.column(2).to_pylist(), seen)))
 
-    marked = digests.mapInArrow(mark, plus(digests.schema, "maybe boolean"))
+    return digests.select("doc_id", "rid", "sha").mapInArrow(mark, plus(digests.select("doc_id", "rid", "sha").schema, "maybe boolean"))
+
+
+def possibly_repeated(digests: DataFrame) -> DataFrame:
+    """The digests with ``maybe``: true of every repeated one and of few others, however many there are.
+    More rows than one filter serves are written once more by the digest's last bytes, a folder
+    a part, so that each part is read once for its filter and once for its marks."""
+    rows, parts = digests.count(), 1
+    while parts * MOST_BITS < rows * BITS_PER_ROW:
+        parts *= 2
+    if parts == 1:
+        return _marked(digests, repeat_filter(digests))
+    # the cells come from the digest's first 16 bytes, the part from its last 4
+    last = F.conv(F.hex(F.substring("sha", 29, 4)), 16, 10).cast("long")
+    cut = materialize(digests.coalesce(512).withColumn("part", (last % parts).cast("int")), "digest-parts", by="part")
+    out = None
+    for k in range(parts):
+        part = cut.where(F.col("part") == k)
+        seen = repeat_filter(part)
+        marks = materialize(_marked(part, seen), f"marks-{k}")
+        seen.destroy()
+        out = marks if out is None else out.unionByName(marks)
+    return out
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
+    marked = possibly_repeated(digest_table(docs, id_col, text_col))
     repeated = marked.where("maybe")
     groups = repeated.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("last"), F.count("*").alias("n")).where("n > 1")
     # as a table of its own, so that both sides of the join are plain shuffles, whose hot keys Spark splits
