@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .jaccard_join import MOST_KNOWN
-from .voronoi import settle
+from .voronoi import settle, with_bits
 
 SPACES = " \t\x0b\x0c\r"
 LEAST_CHARS = 40
@@ -121,9 +121,9 @@ def line_components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
     nodes = materialize(members.groupBy("node").agg(F.count("*").cast("double").alias("weight")), "candidates")
     few = nodes.count() <= MOST_KNOWN
     texts = _lines(docs, id_col, text_col).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(nodes) if few else nodes, "node")
-    sets = texts.groupBy("node").agg(F.first("line").alias("keys"), F.first("weight").alias("weight")).withColumn("size", F.size(F.array_distinct(_parts(F.col("keys")))).cast("long"))
-    sets = materialize(sets, "candidate-lines")
-    return settle(members.join(sets.select("node", "weight"), "node"), sets.select("node", "size", "keys"), _parts, native=True)
+    sets = materialize(texts.groupBy("node").agg(F.first("line").alias("keys"), F.first("weight").alias("weight")), "candidate-lines")
+    marked = materialize(with_bits(sets.select("node", "keys"), _parts), "candidate-bits")
+    return settle(members.join(sets.select("node", "weight"), "node"), marked, _parts, native=True)
 
 
 def _gone(docs: DataFrame, id_col: str, text_col: str, rid: Column | None = None) -> DataFrame:

@@ -23,7 +23,8 @@ pairs of a region is ever written: tables hold members, cells, and the pairs tha
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ BLOCK, BLOCK_KEYS = 4096, 1 << 20
 LEAF, PIVOTS = 32, 16
 #: Pivots of a region that is cut as a table.
 CUTS = 32
+#: Longs of the key bits that spare most exact distances, and longs that they are folded to for the first
+#: look; powers of two.
+BITS, FOLDS = 16, 4
 _EPS = 1e-12
 #: So that sets without a common key, at distance 1, lie in no cell of each other.
 _STRICT = 1e-9
@@ -225,17 +229,50 @@ def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Colum
     pairs = mine.join(lists, ["region", "other"]).select("cell", "radius", F.explode(F.filter("m", meets)).alias("y"))
     pairs = pairs.groupBy(F.least("cell", "y.cell").alias("a"), F.greatest("cell", "y.cell").alias("b")).agg(F.max(F.col("radius") + F.col("y.radius")).alias("reach"))
     pairs = materialize(pairs, "pairs")
-    return measured(pairs, sets, keys).join(pairs, ["a", "b"]).where(F.col("d") <= F.col("reach") + T + _EPS).select("a", "b", "d")
-
-
-def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column], most: float = 1.0) -> DataFrame:
-    """(a, b, d): the exact distances of pairs (a, b), but for pairs whose sizes show that it is over ``most``."""
-    a = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("keys").alias("ka"))
-    b = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("keys").alias("kb"))
-    inter = F.size(F.array_intersect(keys(F.col("ka")), keys(F.col("kb"))))
-    fits = F.least("na", "nb") >= (1 - most - _EPS) * F.greatest("na", "nb")
-    out = pairs.select("a", "b").join(a, "a").join(b, "b").where(fits).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), inter.alias("inter"))
-    return out.select("a", "b", (1 - F.col("inter") / (F.col("n") - F.col("inter"))).alias("d"))
+    return measured(pairs, sets, keys, F.least(F.lit(1.0), F.col("reach") + T))
+
+
+def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column], most: float | Column = 1.0) -> DataFrame:
+    """(a, b, d): the pairs (a, b) whose exact distance is at most ``most``, which may be a column of the pairs;
+    only those are measured whose sizes and key bits allow it."""
+    bits = [c for c in sets.columns if c.startswith("bits")]
+    folds = {f"fold{k}": reduce(Column.bitwiseOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
+
+    def both(pairs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), *[c.alias(f"{side}_{n}") for n, c in columns.items()]), side)
+        return pairs
+
+    def fits(names: Iterable[str]) -> Column:
+        # every bit that differs stands for a key of one side only; there are n (1 - J) / (1 + J) of these
+        apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+        return apart * (2 - F.col("most")) <= F.col("n") * F.col("most") + _EPS
+
+    most = most if isinstance(most, Column) else F.lit(float(most))
+    near = both(pairs.select("a", "b", most.alias("most")), {"size": F.col("size"), **folds}).withColumn("n", F.col("a_size") + F.col("b_size"))
+    near = near.where((F.least("a_size", "b_size") >= (1 - F.col("most") - _EPS) * F.greatest("a_size", "b_size")) & fits(folds)).select("a", "b", "most", "n")
+    near = both(near, {"keys": F.col("keys"), **{c: F.col(c) for c in bits}}).where(fits(bits))
+    inter = F.size(F.array_intersect(keys(F.col("a_keys")), keys(F.col("b_keys"))))
+    if keys is _same:
+        out = near.select("a", "b", "most", "n", inter.alias("inter"))
+    else:
+        # written, or the keys are made anew for every use of the number; and counted in a lambda, which keeps
+        # them out of the join's generated method: in there they are too much for the JVM to compile
+        alone = F.element_at(F.transform(F.array(inter), lambda x: x), 1)
+        out = materialize(near.select("a", "b", "most", "n", alone.alias("inter")), "measured")
+    out = out.select("a", "b", "most", (1 - F.col("inter") / (F.col("n") - F.col("inter"))).alias("d"))
+    return out.where(F.col("d") <= F.col("most") + _EPS).select("a", "b", "d")
+
+
+def with_bits(sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """(node, size, keys, bits..) of (node, keys): the number of distinct keys, and ``BITS`` longs in which
+    every key sets one bit."""
+    h = F.col("h")
+    each = sets.select("node", F.explode(F.array_distinct(keys(F.col("keys")))).alias("k")).select("node", F.xxhash64("k").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    place = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITS - 1))
+    bits = [F.bit_or(F.when(place == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(BITS)]
+    return sets.join(each.groupBy("node").agg(F.count("*").alias("size"), *bits), "node")
 
 
 def _linked(d: Column) -> Column:
@@ -255,13 +292,14 @@ def _same(keys: Column) -> Column:
 def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same, native: bool = False) -> DataFrame:
     """(node, comp) of the linked nodes; ``members`` has (region, node, weight), any two partners share
     a region; ``sets`` has (node, size, keys), where ``keys`` may be anything that the function ``keys``
-    turns into the set (less the keys that no other set holds).  ``native``: DataFrame functions only."""
+    turns into the set (less the keys that no other set holds), and may come from ``with_bits``.
+    ``native``: DataFrame functions only."""
     load = F.col("size").cast("long")
     close_ = (lambda rows: close_cells_by_lists(rows, sets, keys)) if native else (lambda rows: close_cells(rows, sets))
     hubs = members.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("region", "hub")
     members = materialize(members.join(hubs, "region"), "regions")
     first = members.where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-    stars = materialize(measured(first, sets, keys, T).where(_linked(F.col("d"))), "stars")
+    stars = materialize(measured(first, sets, keys, T), "stars")
     links = stars.select("a", "b")
     place = sets.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("cell"), "d"), "node", "left")
     place = _coloured(place.select("node", F.coalesce("cell", "node").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d")), links, native)
