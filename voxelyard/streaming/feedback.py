@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.labels import small
+
 
 def request_counts(requests: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Requests by event-time window and brick; state older than the watermark goes."""
@@ -14,8 +16,10 @@ def request_counts(requests: DataFrame, window: str = "1 hour", late: str = "2 h
 
 
 def with_details(requests: DataFrame, details: DataFrame) -> DataFrame:
-    """Streamed requests joined with the static detail table."""
-    return requests.join(details, "brick_idx")
+    """Streamed requests joined with the static detail table, which alone may be broadcast: the size of a
+    batch is only guessed."""
+    found = small(details)
+    return requests.join(found if found is not details else details.hint("merge"), "brick_idx")
 
 
 def accumulate(samples: DataFrame) -> DataFrame:
@@ -23,13 +27,6 @@ def accumulate(samples: DataFrame) -> DataFrame:
     return samples.where("value is not null").groupBy("epoch", "px", "py").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def run_available(spark: SparkSession, result: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drains the stream's available input into a memory table and returns it."""
-    query: StreamingQuery = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def upsert_state(path: str):
     """A foreachBatch sink that keeps the newest cache state a brick in a Parquet folder by epoch, so
     that a replayed epoch overwrites itself."""
@@ -40,6 +37,25 @@ def upsert_state(path: str):
     return write
 
 
+def run_available(result: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Drains the stream's available input into Parquet files below ``folder`` and returns the table: all
+    batches of an appending stream, else the last, which holds the whole result.  No row passes the driver."""
+    epochs: set[int] = set()
+    write = upsert_state(f"{folder}/rows")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        epochs.add(epoch)
+
+    query: StreamingQuery = result.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = result.sparkSession
+    if not epochs:
+        return spark.createDataFrame([], result.schema)
+    kept = sorted(epochs) if mode == "append" else [max(epochs)]
+    return spark.read.schema(result.schema).parquet(*[f"{folder}/rows/epoch={e}" for e in kept])
+
+
 def orbit(spark: SparkSession, frames: int = 256, radius: float = 2.0) -> DataFrame:
     """Camera poses of a full turn: frame, angle, x, z."""
     angle = F.col("id") / frames * (2 * 3.141592653589793)
