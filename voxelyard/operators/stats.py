@@ -121,13 +121,13 @@ def label_count(volume: Volume, exact: bool = True) -> DataFrame:
     return volume.df.agg((F.count_distinct("label") if exact else F.approx_count_distinct("label")).alias("labels"))
 
 
-def dtype_guard(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
-    """The column fitted to a type's range: spread over it if the data span more, else shifted up or
-    down as needed, else as it is."""
+def dtype_guard(df: DataFrame, column: str, low: int, high: int, lossless: bool = False) -> DataFrame:
+    """The column fitted to a type's range: spread over it if the data span more (null if it must be
+    ``lossless``, as spread values may merge), else shifted up or down as needed, else as it is."""
     span = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     v, lo, hi = F.col(column).cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double")
     scaled = F.floor((v - lo) / F.greatest(hi - lo, F.lit(1.0)) * (high - low) + low)
-    fitted = F.when(hi - lo > high - low, scaled).when(lo < low, v + (low - lo)).when(hi > high, v - (hi - high)).otherwise(v)
+    fitted = F.when(hi - lo > high - low, F.lit(None) if lossless else scaled).when(lo < low, v + (low - lo)).when(hi > high, v - (hi - high)).otherwise(v)
     return df.crossJoin(F.broadcast(span)).withColumn(column, fitted.cast("long")).drop("_lo", "_hi")
 
 
