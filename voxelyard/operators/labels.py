@@ -19,9 +19,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def first_appearance(volume: Volume, chunk: tuple[int, int, int] | None = None) -> DataFrame:
+def first_appearance(volume: Volume, chunk: tuple[int, int, int] | None = None, low: int | None = None) -> DataFrame:
     """(label, csgv_id): ids from 0 by the first position on the Z-curve - of chunks, then of voxels
-    in the chunk.  Labels are ranked inside runs of 4096 positions, which hold that many at most; only
+    in the chunk; or on the Z-curve of the ``low`` least bits of each axis, and where these are alike on
+    that of the others.  Labels are ranked inside runs of 4096 positions, which hold that many at most; only
     the runs' counts pass the global window."""
     bits = max(1, max(volume.dims).bit_length())
     if chunk:
@@ -30,6 +31,8 @@ def first_appearance(volume: Volume, chunk: tuple[int, int, int] | None = None)
         place = F.shiftleft(morton3d(*at, bits), 3 * inner).bitwiseOR(morton3d(*[F.col(a) % c for a, c in zip(AXES, chunk)], inner))
     else:
         place = morton3d("x", "y", "z", bits)
+        if low and low < bits:
+            place = F.shiftleft(place.bitwiseAND(F.lit((1 << 3 * low) - 1)), 3 * (bits - low)).bitwiseOR(F.shiftright(place, 3 * low))
     first = volume.df.groupBy("label").agg(F.min(place).alias("first")).withColumn("run", F.shiftright("first", 12))
     before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = first.groupBy("run").agg(F.count("*").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
