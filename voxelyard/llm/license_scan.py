@@ -1,12 +1,13 @@
 """License scan by conditional compression.
 
-Lines with a licence's cue words, joined over short gaps, are candidate blocks.  Inside a block, of
-any length, every template is looked for at every place: of its words, cut into one part more than
-may differ, at least one part must stand unchanged, so the windows around the parts found miss
-nothing.  In each window the template's words are aligned (edit distance in words, free ends in the
-window), and a licence counts only if few words differ.  Where confirmed templates overlap,
-conditional compression decides: the place is compressed on its own and with each template as
-zstandard raw dictionary, and the template that saves most bytes stays.
+Lines with a licence's cue words, joined over short gaps, are candidate blocks.  A block, of any
+length, is laid out in bounded windows of words, which overlap so that every place of a template lies
+whole in one: windows over all of the block for templates of which words may differ, and windows
+around the cues for short ones, of which none may and which hold a cue.  Every window is compressed on
+its own and with each template as zstandard raw dictionary; a template that saves bytes is a candidate
+there.  Its words are then aligned (edit distance in words, free ends in the window), and a licence
+counts only if few words differ.  Where confirmed templates overlap, the one that saves most bytes of
+the place stays.
 
 Defined results: a null text counts as empty and has no blocks; a null id is carried; repeated rows
 are scanned once each; an empty table gives no rows; blocks are taken whole, whatever their length.
@@ -96,14 +97,24 @@ def wording_differences(template: list[str], block: list[str]) -> tuple[int, int
     return int(row[end]), int(origin[end]), end
 
 
+def cue_words(block: list[str]) -> list[int]:
+    """Places of the words in which a cue begins."""
+    text, at = " ".join(block), np.cumsum([0] + [len(w) + 1 for w in block])
+    found = [m.start() for cue in CUES for m in re.finditer(re.escape(cue.decode()), text)]
+    return sorted({int(k) for k in np.searchsorted(at, found, "right") - 1})
+
+
 class LicenseScanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         import zstandard
 
         self.templates = [(name, words(text)) for name, text in templates]
-        self.parts = [self._parts(w) for _, w in self.templates]
         self.plain = zstandard.ZstdCompressor(level=3)
-        self.conditional = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
+        self.conditional = []
+        for _, w in self.templates:
+            known = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=3)
+            self.conditional.append(zstandard.ZstdCompressor(dict_data=known))
 
     @staticmethod
     def blocks(raw: bytes) -> list[tuple[int, int]]:
@@ -128,36 +139,41 @@ class LicenseScanner:
     def _allowed(template: list[str]) -> int:
         return int(DIFFERENT * len(template)) if len(template) >= 10 else 0
 
-    @classmethod
-    def _parts(cls, template: list[str]) -> list[tuple[int, str]]:
-        """(place, words between blanks) of as many parts as may differ, and one more."""
-        n = cls._allowed(template) + 1
-        cuts = [len(template) * k // n for k in range(n + 1)]
-        return [(x, " " + " ".join(template[x:y]) + " ") for x, y in zip(cuts, cuts[1:])]
+    def windows(self, k: int, block: list[str], cues: list[int]) -> list[tuple[int, int]]:
+        """Ends of the windows that hold every place of a template whole; ``cues`` are the places of cue words."""
+        n = len(self.templates[k][1])
+        allowed = self._allowed(self.templates[k][1])
+        starts = range(allowed - n, len(block), n - allowed) if allowed else [c - n + 1 for c in cues]
+        width = 2 * n if allowed else 2 * n - 1
+        return [(max(0, x), min(len(block), x + width)) for x in starts if x + width > 0]
 
-    def places(self, k: int, block: list[str], text: str) -> dict[tuple[int, int], int]:
+    def places(self, k: int, block: list[str], cues: list[int], plain: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
         """Words that differ, by first and last place in the block, of every confirmed place of a template;
-        ``text`` holds the block's words between blanks."""
-        template = self.templates[k][1]
-        allowed, shifts = self._allowed(template), set()
-        for x, part in self.parts[k]:
-            p, q, at = text.find(part), 0, 0
-            while p >= 0:
-                at, q = at + text.count(" ", q, p), p
-                shifts.add(at - x)
-                p = text.find(part, p + 1)
-        out = {}
-        for shift in shifts:
-            low = max(0, shift - allowed)
-            differ, first, last = wording_differences(template, block[low : shift + len(template) + allowed])
+        ``plain`` keeps the compressed sizes of windows."""
+        template, out = self.templates[k][1], {}
+        allowed = self._allowed(template)
+        for low, high in self.windows(k, block, cues):
+            part = block[low:high]
+            if self.saving(k, part, plain, (low, high)) <= 0:
+                continue
+            seen = set(part)
+            if sum(w not in seen for w in template) > allowed:  # as many words differ at least
+                continue
+            differ, first, last = wording_differences(template, part)
             if differ <= allowed:
                 out[low + first, low + last] = differ
-        return out
+        kept: dict[tuple[int, int], int] = {}
+        for (x, y), differ in sorted(out.items(), key=lambda p: (p[1], p[0])):  # a window may hold a part of a place
+            if not any(x < b and a < y for a, b in kept):
+                kept[x, y] = differ
+        return kept
 
-    def saving(self, k: int, part: list[str]) -> int:
+    def saving(self, k: int, part: list[str], plain: dict[tuple[int, int], int] | None = None, place: tuple[int, int] = (0, 0)) -> int:
         """Bytes that a template's dictionary saves."""
-        data = " ".join(part).encode()
-        return len(self.plain.compress(data)) - len(self.conditional[k].compress(data))
+        data, plain = " ".join(part).encode(), {} if plain is None else plain
+        if place not in plain:
+            plain[place] = len(self.plain.compress(data))
+        return plain[place] - len(self.conditional[k].compress(data))
 
     def scan(self, raw: bytes) -> list[tuple[int, int, str, int]]:
         """(start, end, licence, words that differ) of every block with a confirmed licence, in bytes."""
@@ -166,8 +182,8 @@ class LicenseScanner:
             block = words(raw[a:b].decode("utf-8", "replace"))
             if not block:
                 continue
-            text, confirmed, taken = " " + " ".join(block) + " ", [], []
-            found = [(k, *place, differ) for k in range(len(self.templates)) for place, differ in self.places(k, block, text).items()]
+            cues, plain, confirmed, taken = cue_words(block), {}, [], []
+            found = [(k, *place, differ) for k in range(len(self.templates)) for place, differ in self.places(k, block, cues, plain).items()]
             for _, differ, k, first, last in sorted((-self.saving(k, block[x:y]), differ, k, x, y) for k, x, y, differ in found):
                 if not any(first < y and x < last for x, y in taken):
                     confirmed.append((a, b, self.templates[k][0], differ))
