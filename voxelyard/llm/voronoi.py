@@ -213,18 +213,36 @@ def close_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _folds(sets: DataFrame) -> dict[str, Column]:
+    """The key bits of sets that have them, folded to ``FOLDS`` longs."""
+    bits = [c for c in sets.columns if c.startswith("bits")]
+    return {f"fold{k}": reduce(Column.bitwiseOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
+
+
+def _can_be_near(bits: Iterable[tuple[Column, Column]], n: Column, most: Column) -> Column:
+    """Whether the key bits of two sets of ``n`` keys in all allow a distance of ``most``: every bit that
+    differs stands for a key of one side only, and there are n (1 - J) / (1 + J) of these."""
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
+    return apart * (2 - most) <= n * most + _EPS
+
+
 def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
     """As ``close_cells``, in DataFrame functions only: a region's cells lie in lists of at most a block
-    each, every cell passes the lists of its region once, and sizes that are too far apart are left out."""
-    rows = materialize(rows.withColumn("load", F.lit(0)).join(sets.select(F.col("node").alias("cell"), "size"), "cell"), "points")
+    each, every cell passes the lists of its region once, and cells whose sizes or key bits are too far
+    apart are left out."""
+    folds = _folds(sets)
+    names = ["cell", "radius", "colour", "guest", "size", *folds]
+    rows = rows.withColumn("load", F.lit(0)).join(sets.select(F.col("node").alias("cell"), "size", *[c.alias(n) for n, c in folds.items()]), "cell")
+    rows = materialize(rows, "points")
     blocks = _blocked(rows, _loads(rows))
-    lists = blocks.groupBy("region", F.col("block").alias("other")).agg(F.collect_list(F.struct("cell", "radius", "colour", "guest", "size")).alias("m"))
+    lists = blocks.groupBy("region", F.col("block").alias("other")).agg(F.collect_list(F.struct(*names)).alias("m"))
     mine = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
 
     def meets(y: Column) -> Column:
-        reach = F.col("radius") + y["radius"] + T + _EPS
+        reach = F.least(F.lit(1.0), F.col("radius") + y["radius"] + T + _EPS)
         apart = (F.col("block") < F.col("other")) | (F.col("cell") < y["cell"])
-        return apart & (F.col("colour") != y["colour"]) & ~(F.col("guest") & y["guest"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
+        near = apart & (F.col("colour") != y["colour"]) & ~(F.col("guest") & y["guest"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
+        return near & _can_be_near(((F.col(n), y[n]) for n in folds), F.col("size") + y["size"], reach) if folds else near
 
     pairs = mine.join(lists, ["region", "other"]).select("cell", "radius", F.explode(F.filter("m", meets)).alias("y"))
     pairs = pairs.groupBy(F.least("cell", "y.cell").alias("a"), F.greatest("cell", "y.cell").alias("b")).agg(F.max(F.col("radius") + F.col("y.radius")).alias("reach"))
@@ -236,7 +254,7 @@ def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     """(a, b, d): the pairs (a, b) whose exact distance is at most ``most``, which may be a column of the pairs;
     only those are measured whose sizes and key bits allow it."""
     bits = [c for c in sets.columns if c.startswith("bits")]
-    folds = {f"fold{k}": reduce(Column.bitwiseOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
+    folds = _folds(sets)
 
     def both(pairs: DataFrame, columns: dict[str, Column]) -> DataFrame:
         for side in "ab":
@@ -244,9 +262,7 @@ def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
         return pairs
 
     def fits(names: Iterable[str]) -> Column:
-        # every bit that differs stands for a key of one side only; there are n (1 - J) / (1 + J) of these
-        apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-        return apart * (2 - F.col("most")) <= F.col("n") * F.col("most") + _EPS
+        return _can_be_near(((F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names), F.col("n"), F.col("most"))
 
     most = most if isinstance(most, Column) else F.lit(float(most))
     near = both(pairs.select("a", "b", most.alias("most")), {"size": F.col("size"), **folds}).withColumn("n", F.col("a_size") + F.col("b_size"))
