@@ -7,6 +7,7 @@ Spark's own commit protocol, which also cuts the lineage of whatever produced th
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -99,5 +100,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def trim() -> None:
+    """Gives back what this process has freed: a Python worker lives as long as its executor and
+    counts against it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if trim_heap := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim_heap(0)
+
+
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

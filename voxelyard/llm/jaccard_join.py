@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, plus, slices, text_buffers
+from .common import ASCII_LOWER, materialize, plus, slices, text_buffers, trim
 from .shingles import shingle_sets
 from .voronoi import settle
 
 WIDTH = 5
-#: Postings that a task gathers before it writes them out.
-FLUSH = 2_000_000
+#: Postings that a task gathers before it writes them out (some 100 bytes each meanwhile, here and
+#: where they come together again), and bytes of text whose words are hashed at once (some 40 each).
+FLUSH, HASHED_BYTES = 1_000_000, 1 << 19
 #: Documents that a posting bucket stands for; beyond ``MANY_BUCKETS`` of them, buckets and their
 #: size both grow with the square root of the input (20,000 documents for 5 * 10^10).
 BUCKET_DOCS, MANY_BUCKETS = 2000, 1 << 18
@@ -145,6 +146,27 @@ def _stands(nodes: np.ndarray, keys: np.ndarray, known) -> np.ndarray:
     return (again[at] != nodes) | (rows[at] == keys)
 
 
+def _flushed(sets: list[np.ndarray], nodes: list[int], src: int, buckets: int) -> pa.RecordBatch:
+    """The rows of one flush."""
+    size = np.array([len(s) for s in sets], np.int64)
+    keys = np.concatenate(sets)
+    keys >>= np.uint64(64 - KEY_BITS)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    docs_at = np.repeat(np.arange(len(sets), dtype=np.uint64), size)[order]
+    del order
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(start, len(keys)))
+    several = np.repeat(times > 1, times)
+    mine = _pack(np.array(nodes, np.int64).view(np.uint64), size.astype(np.uint64), _deltas(keys[several]), docs_at[several])
+    said = np.where(times > 1, times.astype(np.uint64) * np.uint64(2) + np.uint64(1), docs_at[start] * np.uint64(2))
+    keys = keys[start]
+    edge = np.searchsorted((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(edge)).tolist()
+    blobs = [_pack(_deltas(keys[edge[b] : edge[b + 1]]), said[edge[b] : edge[b + 1]]) for b in used]
+    return pa.RecordBatch.from_arrays([pa.array([*used, -1 - src], pa.int64()), pa.array([src] * (len(used) + 1), pa.int64()), pa.array([*blobs, mine], pa.binary())], ["bucket", "src", "blob"])
+
+
 def _postings(docs: DataFrame, buckets: int, known, clashes: np.ndarray) -> DataFrame:
     """(bucket, src, blob): of one flush of one task, the shingles that fall into a bucket, each with
     its document or, if it has several, with their number; and in bucket -1 - src the flush's own
@@ -160,29 +182,16 @@ def _postings(docs: DataFrame, buckets: int, known, clashes: np.ndarray) -> Data
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal src, held
-            size = np.array([len(s) for s in sets], np.int64)
-            keys = np.concatenate(sets) >> np.uint64(64 - KEY_BITS)
-            docs_at = np.repeat(np.arange(len(sets), dtype=np.uint64), size)
-            order = np.argsort(keys, kind="stable")
-            keys, docs_at = keys[order], docs_at[order]
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            times = np.diff(np.append(start, len(keys)))
-            several = np.repeat(times > 1, times)
-            mine = _pack(np.array(nodes, np.int64).view(np.uint64), size.astype(np.uint64), _deltas(keys[several]), docs_at[several])
-            said = np.where(times > 1, times.astype(np.uint64) * np.uint64(2) + np.uint64(1), docs_at[start] * np.uint64(2))
-            keys = keys[start]
-            edge = np.searchsorted((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(edge)).tolist()
-            blobs = [_pack(_deltas(keys[edge[b] : edge[b + 1]]), said[edge[b] : edge[b + 1]]) for b in used]
-            yield pa.RecordBatch.from_arrays([pa.array([*used, -1 - src], pa.int64()), pa.array([src] * (len(used) + 1), pa.int64()), pa.array([*blobs, mine], pa.binary())], ["bucket", "src", "blob"])
+            yield _flushed(sets, nodes, src, buckets)
             sets.clear(), nodes.clear()
             src, held = src + 1, 0
+            trim()
 
         for batch in batches:
             node, _ = _text_hashes(batch.column(1), clashes)
             keep = _stands(node, batch.column(2).to_numpy(), known)
             data, at = text_buffers(batch.column(1))
-            for first, last in slices(at):
+            for first, last in slices(at, HASHED_BYTES):
                 if not keep[first:last].any():
                     continue
                 for k, s in enumerate(shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], WIDTH), first):
@@ -199,6 +208,18 @@ def _postings(docs: DataFrame, buckets: int, known, clashes: np.ndarray) -> Data
     return docs.mapInArrow(run, "bucket long, src long, blob binary")
 
 
+def _trimmed(f):
+    """``f``, after which its worker gives back what it has freed."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            trim()
+
+    return run
+
+
 def _shared(key: tuple, part: pa.Table) -> pa.Table:
     """Of one bucket: its entries whose shingle occurs in two documents or more, by source again."""
     src = part["src"].to_numpy()
@@ -244,8 +265,9 @@ def _survivors(part: pa.Table) -> pa.Table:
     names, counts = names[order], counts[order]
     mine = np.cumsum(own[2], dtype=np.uint64)
     keys = np.concatenate([keys[~several], mine]).view(np.int64)
-    docs_at = np.concatenate([said[~several] >> np.uint64(1), own[3]]).astype(np.int64)
-    df = np.concatenate([df[~several], counts[np.searchsorted(names, mine)]]).astype(np.int64)
+    docs_at = np.concatenate([said[~several] >> np.uint64(1), own[3]]).view(np.int64)
+    df = np.concatenate([df[~several], counts[np.searchsorted(names, mine)]]).view(np.int64)
+    del blobs, own, said, several, names, counts, mine
     many = np.bincount(docs_at, minlength=len(nodes))
     keep = 4 * many >= 3 * size
     chosen = keep[docs_at]
@@ -265,8 +287,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     buckets = max(16, nodes.count() // BUCKET_DOCS)
     if buckets > MANY_BUCKETS:
         buckets = int((buckets * MANY_BUCKETS) ** 0.5)
-    shared = _postings(rows, buckets, known, clashes).groupBy("bucket").applyInArrow(_shared, "src long, blob binary")
-    found = materialize(shared.groupBy("src").applyInArrow(_survivors, "node long, size long, weight double, keys array<long>"), "sets")
+    shared = _postings(rows, buckets, known, clashes).groupBy("bucket").applyInArrow(lambda key, part: _trimmed(_shared)(key, part), "src long, blob binary")
+    found = materialize(shared.groupBy("src").applyInArrow(lambda part: _trimmed(_survivors)(part), "node long, size long, weight double, keys array<long>"), "sets")
     sizes = found.select("node", "size").dropDuplicates(["node"])
     sets = found.where("keys is not null")
     if known is None:
