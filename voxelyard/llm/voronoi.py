@@ -6,7 +6,7 @@ the components of all links:
 1. Each region names its most central member its pivot.  Every node is measured against the most
    central of its regions' pivots; within ``T`` of it, it joins the pivot's Voronoi cell, else it is
    the pivot of a cell of its own.  A cell is a star of links, so it lies in one component, and its
-   radius is known.
+   radius is known.  (With ``native``, crowds of nodes that are still alone choose pivots again.)
 2. A region then is a short list of cells.  Regions that hold one component are settled; of regions
    with the same cells one is joined.  Two cells can hold a link only if their pivots are as near as
    their radii and ``T`` together.  ``close_pairs`` finds such cells by recursion: pivots among the
@@ -42,9 +42,12 @@ BLOCK, BLOCK_KEYS = 4096, 1 << 20
 LEAF, PIVOTS = 32, 16
 #: Pivots of a region that is cut as a table.
 CUTS = 32
+#: Nodes of a region in no cell of another's, from which on they choose pivots anew, and how often.
+CROWD, ROUNDS = 32, 2
 #: Longs of the key bits that spare most exact distances, and longs that they are folded to for the first
-#: look; powers of two.
-BITS, FOLDS = 16, 4
+#: look; powers of two.  A bit is the parity of the keys at its place, so that keys of both sides cancel
+#: out and what differs shows however many keys there are in common.
+BITS, FOLDS = 16, 16
 _EPS = 1e-12
 #: So that sets without a common key, at distance 1, lie in no cell of each other.
 _STRICT = 1e-9
@@ -216,12 +219,12 @@ def close_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _folds(sets: DataFrame) -> dict[str, Column]:
     """The key bits of sets that have them, folded to ``FOLDS`` longs."""
     bits = [c for c in sets.columns if c.startswith("bits")]
-    return {f"fold{k}": reduce(Column.bitwiseOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
+    return {f"fold{k}": reduce(Column.bitwiseXOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
 
 
 def _can_be_near(bits: Iterable[tuple[Column, Column]], n: Column, most: Column) -> Column:
     """Whether the key bits of two sets of ``n`` keys in all allow a distance of ``most``: every bit that
-    differs stands for a key of one side only, and there are n (1 - J) / (1 + J) of these."""
+    differs stands for an odd number of keys of one side only, and there are n (1 - J) / (1 + J) of these."""
     apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
     return apart * (2 - most) <= n * most + _EPS
 
@@ -267,7 +270,8 @@ def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     most = most if isinstance(most, Column) else F.lit(float(most))
     near = both(pairs.select("a", "b", most.alias("most")), {"size": F.col("size"), **folds}).withColumn("n", F.col("a_size") + F.col("b_size"))
     near = near.where((F.least("a_size", "b_size") >= (1 - F.col("most") - _EPS) * F.greatest("a_size", "b_size")) & fits(folds)).select("a", "b", "most", "n")
-    near = both(near, {"keys": F.col("keys"), **{c: F.col(c) for c in bits}}).where(fits(bits))
+    bits = bits if len(folds) < len(bits) else []
+    near = both(near, {"keys": F.col("keys"), **{c: F.col(c) for c in bits}}).where(fits(bits) if bits else F.lit(True))
     inter = F.size(F.array_intersect(keys(F.col("a_keys")), keys(F.col("b_keys"))))
     if keys is _same:
         out = near.select("a", "b", "most", "n", inter.alias("inter"))
@@ -282,12 +286,12 @@ def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
 
 def with_bits(sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
     """(node, size, keys, bits..) of (node, keys): the number of distinct keys, and ``BITS`` longs in which
-    every key sets one bit."""
+    every key flips one bit."""
     h = F.col("h")
     each = sets.select("node", F.explode(F.array_distinct(keys(F.col("keys")))).alias("k")).select("node", F.xxhash64("k").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     place = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITS - 1))
-    bits = [F.bit_or(F.when(place == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(BITS)]
+    bits = [F.bit_xor(F.when(place == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(BITS)]
     return sets.join(each.groupBy("node").agg(F.count("*").alias("size"), *bits), "node")
 
 
@@ -305,6 +309,25 @@ def _same(keys: Column) -> Column:
     return keys
 
 
+def _more_stars(members: DataFrame, stars: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """The stars (a, b, d) with those of further rounds: where many nodes of a region are still alone, they
+    choose pivots among themselves (of its regions' pivots each node the one that it shares most regions
+    with), so that a group whose pivot lay apart from it does not stay a crowd of cells of one node."""
+    alone, new = members.select("region", "node", "weight", F.col("hub.node").alias("tried")), stars
+    for _ in range(ROUNDS):
+        placed = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        alone = alone.where("node <> tried").drop("tried").join(placed, "node", "left_anti")
+        hubs = alone.groupBy("region").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("n")).where(F.col("n") >= CROWD)
+        alone = materialize(alone.join(hubs.select("region", F.col("hub.node").alias("tried")), "region"), "alone")
+        if alone.isEmpty():
+            break
+        shares = alone.where("node <> tried").groupBy("node", "tried").agg(F.count("*").alias("n"))
+        asked = shares.groupBy("node").agg(F.max(F.struct("n", "tried")).alias("most")).select(F.col("node").alias("a"), F.col("most.tried").alias("b"))
+        new = materialize(measured(asked, sets, keys, T), "more-stars")
+        stars = stars.unionByName(new)
+    return stars
+
+
 def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column] = _same, native: bool = False) -> DataFrame:
     """(node, comp) of the linked nodes; ``members`` has (region, node, weight), any two partners share
     a region; ``sets`` has (node, size, keys), where ``keys`` may be anything that the function ``keys``
@@ -316,6 +339,8 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     members = materialize(members.join(hubs, "region"), "regions")
     first = members.where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     stars = materialize(measured(first, sets, keys, T), "stars")
+    if native:
+        stars = _more_stars(members, stars, sets, keys)
     links = stars.select("a", "b")
     place = sets.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("cell"), "d"), "node", "left")
     place = _coloured(place.select("node", F.coalesce("cell", "node").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d")), links, native)
