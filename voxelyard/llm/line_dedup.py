@@ -63,7 +63,7 @@ def _shingles(line: Column) -> Column:
 
 
 def _starts(line: Column) -> Column:
-    return _hashes(F.regexp_extract_all(line, F.lit(f"(?s)(?:^| )(?=(.{{1,{START_CHARS}}}))"), F.lit(1)))
+    return _hashes(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{START_CHARS}}}))[^ ]*+ ?"), F.lit(1)))
 
 
 def _least(hashes: Column, k: int) -> Column:

@@ -15,7 +15,9 @@ the components of all links:
    tables, until they fit; what no pivot can cut is joined block by block.
 3. Of two such cells that are still in different components, the members near the border (by the
    triangle inequality) meet in the region of the wider one, again by ``close_pairs``: its own as
-   hosts, the replicas of the other's as guests, which need no test among themselves.
+   hosts, the replicas of the other's as guests, which need no test among themselves.  (With
+   ``native``, of every two components the pair that is nearest by key bits is measured first, and
+   the others are listed only where the components are still apart.)
 
 Only links between different components are looked for, which loses no component.  No list of all
 pairs of a region is ever written: tables hold members, cells, and the pairs that come near.
@@ -222,17 +224,19 @@ def _folds(sets: DataFrame) -> dict[str, Column]:
     return {f"fold{k}": reduce(Column.bitwiseXOR, [F.col(c) for c in bits[k::FOLDS]]) for k in range(min(FOLDS, len(bits)))}
 
 
+def _apart(bits: Iterable[tuple[Column, Column]]) -> Column:
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
+
+
 def _can_be_near(bits: Iterable[tuple[Column, Column]], n: Column, most: Column) -> Column:
     """Whether the key bits of two sets of ``n`` keys in all allow a distance of ``most``: every bit that
     differs stands for an odd number of keys of one side only, and there are n (1 - J) / (1 + J) of these."""
-    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
-    return apart * (2 - most) <= n * most + _EPS
+    return _apart(bits) * (2 - most) <= n * most + _EPS
 
 
-def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
-    """As ``close_cells``, in DataFrame functions only: a region's cells lie in lists of at most a block
-    each, every cell passes the lists of its region once, and cells whose sizes or key bits are too far
-    apart are left out."""
+def _listed(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Every cell beside each list that it passes, (.., m), and the names of its key bits: a region's cells
+    lie in lists of at most a block each."""
     folds = _folds(sets)
     names = ["cell", "radius", "colour", "guest", "size", *folds]
     rows = rows.withColumn("load", F.lit(0)).join(sets.select(F.col("node").alias("cell"), "size", *[c.alias(n) for n, c in folds.items()]), "cell")
@@ -240,22 +244,52 @@ def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Colum
     blocks = _blocked(rows, _loads(rows))
     lists = blocks.groupBy("region", F.col("block").alias("other")).agg(F.collect_list(F.struct(*names)).alias("m"))
     mine = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    return mine.join(lists, ["region", "other"]), folds
+
+
+def _meets(y: Column, folds: Iterable[str], radius: Column) -> Column:
+    """Whether a cell's guests and hosts, colour, size and key bits allow it to be near y."""
+    reach = F.least(F.lit(1.0), radius + T + _EPS)
+    near = (F.col("colour") != y["colour"]) & ~(F.col("guest") & y["guest"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
+    return near & _can_be_near(((F.col(n), y[n]) for n in folds), F.col("size") + y["size"], reach) if folds else near
+
+
+def close_cells_by_lists(rows: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """As ``close_cells``, in DataFrame functions only: every cell passes the lists of its region once, and
+    cells whose sizes or key bits are too far apart are left out."""
+    listed, folds = _listed(rows, sets)
 
     def meets(y: Column) -> Column:
-        reach = F.least(F.lit(1.0), F.col("radius") + y["radius"] + T + _EPS)
-        apart = (F.col("block") < F.col("other")) | (F.col("cell") < y["cell"])
-        near = apart & (F.col("colour") != y["colour"]) & ~(F.col("guest") & y["guest"]) & (F.least("size", y["size"]) >= (1 - reach) * F.greatest("size", y["size"]))
-        return near & _can_be_near(((F.col(n), y[n]) for n in folds), F.col("size") + y["size"], reach) if folds else near
+        once = (F.col("block") < F.col("other")) | (F.col("cell") < y["cell"])
+        return once & _meets(y, folds, F.col("radius") + y["radius"])
 
-    pairs = mine.join(lists, ["region", "other"]).select("cell", "radius", F.explode(F.filter("m", meets)).alias("y"))
+    pairs = listed.select("cell", "radius", F.explode(F.filter("m", meets)).alias("y"))
     pairs = pairs.groupBy(F.least("cell", "y.cell").alias("a"), F.greatest("cell", "y.cell").alias("b")).agg(F.max(F.col("radius") + F.col("y.radius")).alias("reach"))
     pairs = materialize(pairs, "pairs")
-    return measured(pairs, sets, keys, F.least(F.lit(1.0), F.col("reach") + T))
+    return measured(pairs, sets, keys, F.least(F.lit(1.0), F.col("reach") + T), tested=True)
+
+
+def nearest_cells(rows: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """(a, b), colours: links between cells, whose radius is not regarded, of different colours.  Every cell
+    names the one of another colour in each list that is nearest by key bits, and of two colours the
+    nearest such pair is measured, so no more rows are made than cells, and not all links are found."""
+    listed, folds = _listed(rows, sets)
 
+    def far(y: Column) -> Column:
+        return F.struct((_apart((F.col(n), y[n]) for n in folds) / (F.col("size") + y["size"])).alias("far"), y["cell"].alias("cell"), y["colour"].alias("colour"))
 
-def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column], most: float | Column = 1.0) -> DataFrame:
+    nearest = F.array_min(F.transform(F.filter("m", lambda y: _meets(y, folds, F.lit(0.0))), far))
+    pairs = listed.select("cell", "colour", nearest.alias("y")).where("y is not null")
+    pair = F.struct("y.far", F.least("cell", "y.cell").alias("a"), F.greatest("cell", "y.cell").alias("b"), "colour", F.col("y.colour").alias("other"))
+    pairs = pairs.groupBy(F.least("colour", "y.colour"), F.greatest("colour", "y.colour")).agg(F.min(pair).alias("p"))
+    pairs = materialize(pairs.select("p.a", "p.b", "p.colour", "p.other"), "nearest")
+    near = measured(pairs.select("a", "b"), sets, keys, T, tested=True)
+    return pairs.join(near, ["a", "b"]).select(F.col("colour").alias("a"), F.col("other").alias("b"))
+
+
+def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column], most: float | Column = 1.0, tested: bool = False) -> DataFrame:
     """(a, b, d): the pairs (a, b) whose exact distance is at most ``most``, which may be a column of the pairs;
-    only those are measured whose sizes and key bits allow it."""
+    only those are measured whose sizes and key bits allow it (``tested``: which is known of all of them)."""
     bits = [c for c in sets.columns if c.startswith("bits")]
     folds = _folds(sets)
 
@@ -268,10 +302,13 @@ def measured(pairs: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
         return _can_be_near(((F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names), F.col("n"), F.col("most"))
 
     most = most if isinstance(most, Column) else F.lit(float(most))
-    near = both(pairs.select("a", "b", most.alias("most")), {"size": F.col("size"), **folds}).withColumn("n", F.col("a_size") + F.col("b_size"))
-    near = near.where((F.least("a_size", "b_size") >= (1 - F.col("most") - _EPS) * F.greatest("a_size", "b_size")) & fits(folds)).select("a", "b", "most", "n")
+    n = F.col("a_size") + F.col("b_size")
+    near = pairs.select("a", "b", most.alias("most"))
+    if not tested:
+        near = both(near, {"size": F.col("size"), **folds}).withColumn("n", n)
+        near = near.where((F.least("a_size", "b_size") >= (1 - F.col("most") - _EPS) * F.greatest("a_size", "b_size")) & fits(folds)).select("a", "b", "most")
     bits = bits if len(folds) < len(bits) else []
-    near = both(near, {"keys": F.col("keys"), **{c: F.col(c) for c in bits}}).where(fits(bits) if bits else F.lit(True))
+    near = both(near, {"size": F.col("size"), "keys": F.col("keys"), **{c: F.col(c) for c in bits}}).withColumn("n", n).where(fits(bits) if bits else F.lit(True))
     inter = F.size(F.array_intersect(keys(F.col("a_keys")), keys(F.col("b_keys"))))
     if keys is _same:
         out = near.select("a", "b", "most", "n", inter.alias("inter"))
@@ -305,6 +342,19 @@ def _coloured(place: DataFrame, links: DataFrame, native: bool) -> DataFrame:
     return materialize(place.select("node", "cell", "d").join(comp, "node", "left").withColumn("colour", F.coalesce("comp", "cell")).drop("comp"), "places")
 
 
+def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the colours of a component of ``links``, (a, b) of colours, made one."""
+    comp = components(links).toDF("colour", "comp")
+    return rows.join(comp, "colour", "left").withColumn("colour", F.coalesce("comp", "colour")).drop("comp")
+
+
+def _colours(pairs: DataFrame, place: DataFrame) -> DataFrame:
+    """(a, b): the two colours of each of the pairs (a, b) of nodes."""
+    for side in "ab":
+        pairs = pairs.join(place.select(F.col("node").alias(side), F.col("colour").alias(f"c{side}")), side)
+    return pairs.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
 def _same(keys: Column) -> Column:
     return keys
 
@@ -357,8 +407,11 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     more = close.where(_linked(F.col("d"))).select("a", "b")
     if close.isEmpty():
         return _result(place)
-    links = materialize(links.unionByName(more), "links")
-    place = _coloured(place, links, native)
+    if native:
+        place = materialize(_merged(place, _colours(more, place)), "places")
+    else:
+        links = materialize(links.unionByName(more), "links")
+        place = _coloured(place, links, native)
 
     # the windows of the cells that are still apart
     side = place.groupBy("cell").agg(F.max("d").alias("r"), F.first("colour").alias("colour"))
@@ -373,6 +426,14 @@ def settle(members: DataFrame, sets: DataFrame, keys: Callable[[Column], Column]
     come = place.withColumnRenamed("d", "far").join(both.withColumn("cell", F.col("guest.cell")).drop("guest"), "cell").where(F.col("far") + F.col("host.r") + slack >= F.col("d"))
     near = own.unionByName(come.select(F.col("host.cell").alias("region"), "node", "colour", F.lit(True).alias("guest")))
     near = near.withColumnRenamed("node", "cell").withColumn("radius", F.lit(0.0)).join(sets.select(F.col("node").alias("cell"), load.alias("load")), "cell")
+    if native:
+        # two colours mostly have many pairs near their border, and one that is linked is enough
+        near, found = materialize(near, "near"), materialize(nearest_cells(near, sets, keys), "colour-links")
+        near, place = _merged(near, found), materialize(_merged(place, found), "places")
+        near = materialize(near, "near")
+        open_ = near.groupBy("region").agg(F.min("colour").alias("lo"), F.max("colour").alias("hi")).where("lo <> hi").select("region")
+        more = close_(near.join(open_, "region", "left_semi")).where(_linked(F.col("d")))
+        return _result(_merged(place, materialize(_colours(more, place), "colour-links")))
     links = materialize(links.unionByName(close_(near).where(_linked(F.col("d"))).select("a", "b")), "links")
     return _result(_coloured(place, links, native))
 
